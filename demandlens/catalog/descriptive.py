@@ -13,6 +13,7 @@ from demandlens.functions import numeric as num
 from demandlens.operators import aggregate as agg
 from demandlens.operators import align, buckets, distribution, windows, yardstick
 from demandlens.operators import select as sel
+from demandlens.session import stage
 from demandlens.sources import readers, schemas
 from demandlens.sources.star import AD_COLUMNS, ORDER_KEYS, REGIONS, list_price_scores, sales
 
@@ -659,7 +660,8 @@ def a23_shape(spark, sf):
 def a24(spark, sf):
     from demandlens.operators.quantiles import exact_quantiles
 
-    return rounded(exact_quantiles(sales(spark, sf, AD_COLUMNS), NUMERIC, [0.25, 0.5, 0.75]), {"quantile": 6})
+    df = stage(sales(spark, sf, AD_COLUMNS).select(NUMERIC))  # read three times
+    return rounded(exact_quantiles(df, NUMERIC, [0.25, 0.5, 0.75]), {"quantile": 6})
 
 
 @query(
@@ -672,7 +674,7 @@ def a24(spark, sf):
     ),
 )
 def a25(spark, sf):
-    return rounded(agg.correlation_pairs(sales(spark, sf, AD_COLUMNS), NUMERIC).drop("i", "j"), 6)
+    return rounded(agg.correlation_pairs(sales(spark, sf, AD_COLUMNS), NUMERIC), 6)
 
 
 @query(
@@ -837,11 +839,8 @@ def l4(spark, sf):
     + ") ORDER BY r DESC, feature LIMIT 10",
 )
 def l5(spark, sf):
-    df = list_price_scores(spark, sf, AD_COLUMNS)
-    row = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.abs(agg.pearson(c, "predicted_revenue")).alias("r")) for c in NUMERIC]
-    )
-    scores = df.agg(row.alias("x")).select(F.inline("x"))
+    found = agg.pair_correlations(list_price_scores(spark, sf, AD_COLUMNS), [(c, "predicted_revenue") for c in NUMERIC])
+    scores = found.select(F.col("left").alias("feature"), F.abs("r").alias("r"))
     return rounded(sel.sort_by_measure(scores, "r", ["feature"]).limit(10), 6)
 
 

@@ -10,6 +10,7 @@ from demandlens.functions import calendar as cal
 from demandlens.operators import features as fp
 from demandlens.operators import select as sel
 from demandlens.operators import windows
+from demandlens.session import stage
 from demandlens.sources.star import AD_COLUMNS, ORDER_KEYS, REGIONS, sales
 
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -104,7 +105,7 @@ def _treated(c):
     ),
 )
 def f5_limits(spark, sf):
-    return rounded(fp.outlier_limits(sales(spark, sf, AD_COLUMNS), TREATED), 6)
+    return rounded(fp.outlier_limits(stage(sales(spark, sf, AD_COLUMNS).select(TREATED)), TREATED), 6)
 
 
 @query(
@@ -115,8 +116,8 @@ def f5_limits(spark, sf):
     + " FROM sales, q",
 )
 def f5(spark, sf):
-    df = sales(spark, sf, AD_COLUMNS)
-    out = df.select(*IDS, *TREATED).withColumns(fp.replace_outliers(fp.fit_outliers(df, TREATED)))
+    df = stage(sales(spark, sf, AD_COLUMNS).select(*IDS, *TREATED))
+    out = df.withColumns(fp.replace_outliers(fp.fit_outliers(df, TREATED)))
     return rounded(out, 6)
 
 
@@ -200,7 +201,7 @@ def _scaled(c: str, source: str) -> str:
     + f", {FLAGS_SQL} FROM t, e",
 )
 def f1(spark, sf):
-    df = sales(spark, sf, WANTED).select(*IDS, "transaction_date", "category", "region", *NUMERIC)
+    df = stage(sales(spark, sf, WANTED).select(*IDS, "transaction_date", "category", "region", *NUMERIC))
     prep = fp.fit_preparation(df, NUMERIC)
     out = fp.apply_cleaning(df, prep, NUMERIC)
     return rounded(out, {c: 6 for c in ("revenue", *TREATED)})
@@ -221,7 +222,7 @@ FEATURES = [
  CAST(isodow(transaction_date) IN (6, 7) AS DOUBLE) AS is_weekend, CAST(0 AS DOUBLE) AS revenue_lag_1 FROM t, e""",
 )
 def f10(spark, sf):
-    df = sales(spark, sf, WANTED)
+    df = stage(sales(spark, sf, WANTED).select(*IDS, "transaction_date", "category", "region", *NUMERIC))
     prep = fp.fit_preparation(df, NUMERIC)
     prep.feature_columns = FEATURES
     requests = df.drop("revenue")

@@ -152,46 +152,39 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def pearson(x: Column | str, y: Column | str) -> Column:
-    """Pearson's r as an aggregate; NULL, not an error, when a side is constant."""
-    # Only rows with both sides count, also for the deviations.
-    x, y = (F.col(v) if isinstance(v, str) else v for v in (x, y))
-    both = x.isNotNull() & y.isNotNull()
-    sx, sy = F.stddev_samp(F.when(both, x)), F.stddev_samp(F.when(both, y))
-    return F.try_divide(F.covar_samp(x, y), sx * sy)
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson's r of each (left, right) column pair, long: (pair, left, right, r).
 
+    Rows are unrolled into pairs and combined before the shuffle, which moves one small
+    record per pair and task. As aggregates side by side the pairs would outgrow code
+    generation (dozens of buffers per row) and run many times slower.
+    """
+    cells = [
+        F.struct(F.lit(n).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for n, (a, b) in enumerate(pairs)
+    ]
+    long = df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    spread = F.stddev_samp("x") * F.stddev_samp("y")
+    found = long.groupBy("pair").agg(F.try_divide(F.covar_samp("x", "y"), spread).alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs])
+    named = found.select("pair", F.get(names, F.col("pair")).alias("_p"), "r")
+    return named.select("pair", "_p.left", "_p.right", "r")
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle of the correlation matrix, long: (i, j, left, right, r).
 
-    All pairs are aggregates of the same single pass.
-    """
-    pairs = list(combinations(range(len(columns)), 2))
-    row = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(columns[i]).alias("left"),
-                F.lit(columns[j]).alias("right"),
-                F.col(f"r_{i}_{j}").alias("r"),
-            )
-            for i, j in pairs
-        ]
-    )
-    wide = df.agg(*[pearson(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    return wide.select(F.inline(row))
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Upper triangle of the correlation matrix, long: (left, right, r), left before right."""
+    return pair_correlations(df, list(combinations(columns, 2))).drop("pair")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full matrix, one row per column name; the diagonal of a varying column is 1."""
-    upper = correlation_pairs(df, columns)
-    diagonal = df.agg(*[pearson(c, c).alias(c) for c in columns])
-    diagonal = diagonal.unpivot([], list(columns), "left", "r").select("left", F.col("left").alias("right"), "r")
-    mirrored = upper.select(F.col("right").alias("left"), F.col("left").alias("right"), "r")
-    cells = upper.select("left", "right", "r").unionByName(mirrored).unionByName(diagonal)
+    cells = pair_correlations(df, [*combinations(columns, 2), *[(c, c) for c in columns]]).drop("pair")
+    both = F.array(
+        F.struct(F.col("left").alias("column"), F.col("right").alias("other"), "r"),
+        F.struct(F.col("right").alias("column"), F.col("left").alias("other"), "r"),
+    )
     # At most (number of columns) squared rows reach this pivot.
-    return cells.groupBy(F.col("left").alias("column")).pivot("right", list(columns)).agg(F.first("r"))
+    return cells.select(F.inline(both)).groupBy("column").pivot("other", list(columns)).agg(F.first("r"))
 
 
 def feature_summary(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.numeric import clamp
-from demandlens.operators.aggregate import pearson, spread_ratio
+from demandlens.operators.aggregate import pair_correlations, spread_ratio
 
 
 def data_driven_importance(
@@ -20,13 +20,8 @@ def data_driven_importance(
     mean group deviation to the overall one, held within 0.1 and 0.9. A feature without
     a value (a constant column) stays NULL.
     """
-    row = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.abs(pearson(c, measure)).alias("score"))
-            for c in numeric
-        ]
-    )
-    scores = df.agg(row.alias("r")).select(F.inline("r"))
+    found = pair_correlations(df, [(c, measure) for c in numeric])
+    scores = found.select(F.col("left").alias("feature"), F.abs("r").alias("score"))
     for c in text:
         ratio = spread_ratio(df, c, measure)
         scores = scores.unionByName(

@@ -2,8 +2,8 @@
 
 Rows are range-partitioned on the full order key and sorted inside the partitions, so a
 day (or any other key) holding a large part of the rows is spread over partitions by the
-rest of the key. The sorted table is checkpointed: positions must come from the same
-partitions when the partition sizes are counted and when the rows are numbered.
+rest of the key. The sorted table is written once with each row's partition and position:
+the sizes of the partitions and the row numbers must come from the same run of the sort.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandlens.session import cut_lineage
+from demandlens.session import stage
 
 ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 BLOCK_ROWS = 65_536
@@ -23,7 +23,7 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", parti
     """1-based position of each row in the given order (a total order is expected)."""
     parts = (partitions,) if partitions else ()
     ranged = df.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
-    ranged = cut_lineage(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    ranged = stage(ranged.withColumn("_id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftrightunsigned("_id", ROW_BITS).cast("int")
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # One row per partition of the table above.
