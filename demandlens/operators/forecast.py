@@ -177,6 +177,8 @@ def forecast_range(
             }
         )
         out = out[(out["date"] >= pd.Timestamp(start)) & (out["date"] <= pd.Timestamp(end)) & out["mean"].notna()]
+        if out.empty:
+            return pd.DataFrame()
         result = pd.DataFrame({k: [pdf[k].iloc[0]] * len(out) for k in keys})
         result["date"] = out["date"].dt.date.to_numpy()
         result["predicted_revenue"] = np.maximum(out["mean"].to_numpy(), 0.0)
