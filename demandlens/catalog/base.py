@@ -7,7 +7,8 @@ import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from demandlens.functions.numeric import round_half_away
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,10 +44,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df: DataFrame, digits: Mapping[str, int] | int = 4) -> DataFrame:
-    """Double columns rounded, so that the order of additions does not show."""
+    """Double columns rounded, so that the order of additions does not show.
+    """
     if isinstance(digits, int):
         digits = {f.name: digits for f in df.schema if f.dataType.typeName() == "double"}
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    return df.withColumns({c: round_half_away(c, n) for c, n in digits.items()})
 
 
 # Stands for the WITH clause that defines `sales`; see `_expand`.

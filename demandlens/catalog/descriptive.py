@@ -866,13 +866,13 @@ def f_math(spark, sf):
         "l_linenumber",
         "l_partkey",
         num.round_half_even("revenue").alias("rounded"),
-        F.round(num.log1p_clamped("revenue"), 6).alias("logged"),
-        F.round(num.expm1_clamped(num.log1p_clamped("revenue")), 4).alias("restored"),
-        F.round(F.abs(gap), 4).alias("absolute"),
-        F.round(F.sqrt("revenue"), 6).alias("root"),
-        F.round(num.clip_low(gap), 4).alias("clipped"),
+        num.round_half_away(num.log1p_clamped("revenue"), 6).alias("logged"),
+        num.round_half_away(num.expm1_clamped(num.log1p_clamped("revenue")), 4).alias("restored"),
+        num.round_half_away(F.abs(gap), 4).alias("absolute"),
+        num.round_half_away(F.sqrt("revenue"), 6).alias("root"),
+        num.round_half_away(num.clip_low(gap), 4).alias("clipped"),
         num.clamp(F.col("discount_applied") * 10, 0.1, 0.9).alias("clamped"),
-        F.round(num.percent_difference("revenue", "predicted_revenue"), 4).alias("pct"),
+        num.round_half_away(num.percent_difference("revenue", "predicted_revenue"), 4).alias("pct"),
         num.to_number(text).alias("parsed"),
     )
 

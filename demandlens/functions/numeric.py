@@ -16,6 +16,12 @@ def round_half_even(x: Column | str, digits: int = 2) -> Column:
     return F.rint(_c(x) * scale) / scale
 
 
+def round_half_away(x: Column | str, digits: int = 2) -> Column:
+    """Ties away from zero, in primitive arithmetic (built-in ``round`` goes through decimals)."""
+    scale = float(10**digits)
+    return F.signum(_c(x)) * F.floor(F.abs(_c(x)) * scale + 0.5) / scale
+
+
 def log1p_clamped(x: Column | str) -> Column:
     """``log1p`` with negative input taken as 0."""
     return F.log1p(F.greatest(_c(x), F.lit(0.0)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from demandlens.session import stage
 
 ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 8_192
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", partitions: int | None = None) -> DataFrame:

@@ -72,14 +72,14 @@ def main() -> int:
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    sql, failed = entry.oracle_sql(), 0
+    sql, failed, con = entry.oracle_sql(), 0, duck(sf)
     for name, fn in entry.queries().items():
         if parts and not any(p in name for p in parts):
             continue
         t = time.time()
         try:
             if name in sql:
-                problem = compare(fn(spark, sf), duck(sf), sql[name])
+                problem = compare(fn(spark, sf), con, sql[name])
             else:
                 problem = None if fn(spark, sf).count() > 0 else "no rows"
         except Exception as exc:  # report and go on
