@@ -6,8 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from demandlens.catalog.base import FORECAST, SALES, query, rounded
-from demandlens.catalog.base import DAILY
+from demandlens.catalog.base import DAILY, FORECAST, SALES, query, rounded
 from demandlens.functions import calendar as cal
 from demandlens.functions import numeric as num
 from demandlens.operators import aggregate as agg

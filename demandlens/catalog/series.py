@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from demandlens.catalog.base import DAILY, FORECAST, NUMBERED, SALES, query, rounded
 from demandlens.catalog.descriptive import forecast
 from demandlens.operators import buckets, metrics, ordering, windows, yardstick
-from demandlens.operators import aggregate as agg
 from demandlens.operators.importance import data_driven_importance
 from demandlens.sources.star import ORDER_KEYS, list_price_scores, sales
 

@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from demandlens.operators import attribution, forecast, trees
 from demandlens.plans import scoring
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 D = dt.date
