@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat, exact_dedup, packing, url_filter
+from demandlens.llm import chat, exact_dedup, packing, substring_dedup, url_filter
 from demandlens.llm.common import read_table
 
 #: The url filter's rules (fixed values).
@@ -31,6 +31,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op6_url_filter, op7_chat_format, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op6_url_filter, op7_chat_format, op10_packing)
 }
 
 SQL = {
@@ -66,6 +71,27 @@ WITH t AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op2_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word, words FROM d
+), k AS (
+  SELECT doc_id, i, word, CASE WHEN i + 12 <= len(words) THEN array_to_string(words[i : i + 12], ' ') END AS edge FROM w
+), f AS (
+  SELECT edge, min(doc_id) AS source FROM k WHERE edge IS NOT NULL GROUP BY edge
+), r AS (
+  SELECT k.doc_id, i, word, max(coalesce(f.source < k.doc_id, false)) OVER (
+    PARTITION BY k.doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM k LEFT JOIN f ON k.edge = f.edge
+), g AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """,
     "op6_url_filter": r"""
 WITH t AS (

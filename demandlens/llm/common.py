@@ -39,7 +39,7 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     the choice of ``chunks``. Plans that group by it several times share one shuffle of the texts.
     Rows without an id go by their text.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     return texts(docs).withColumn("chunk", F.pmod(key, F.lit(chunks)).cast("int"))
 
 

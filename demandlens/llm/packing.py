@@ -10,6 +10,8 @@ each; an empty table gives no piece. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import functools
+import os
 from array import array
 from collections.abc import Iterator
 
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from demandlens.llm.common import texts
 
 MAX_LENGTH = 4096
-#: Words whose ids a task keeps.
-WORDS = 200_000
+#: Words whose ids a worker keeps.
+WORDS = 500_000
+#: Stands between words that are looked up together.
+MARK = "\x01"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -31,45 +35,77 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
-class WordIds:
-    """Token ids of texts, each distinct word looked up once.
+class WordIds(dict):
+    """Token ids of texts, each distinct word looked up once; what is kept is bounded.
 
-    Splitting at spaces and line feeds first gives the tokenizer's own ids if it drops white space
-    and handles what lies between on its own, as word vocabularies do. The kept ids are bounded.
+    Splitting at ASCII white space first gives the tokenizer's own ids if it drops white space and
+    handles what lies between on its own, as word vocabularies do.
     """
 
     def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.reset()
+        self.mark = self.encode([MARK])[0]
+        self.forget()
 
-    def reset(self) -> None:
-        self.place: dict[str, int] = {}
+    def encode(self, batch: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
         self.start, self.size, self.pool = array("q"), array("q"), array("I")
 
-    def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids = found.ids
-            self.place[word] = len(self.start)
-            self.start.append(len(self.pool))
-            self.size.append(len(ids))
-            self.pool.extend(ids)
-
-    def of(self, documents: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.place) > self.limit:
-            self.reset()
-        unseen = set().union(*documents).difference(self.place)
-        self.learn(sorted(unseen))
+    def __missing__(self, word: bytes) -> int:
+        """Numbers a new word; its ids follow with ``learn``."""
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+    def learn(self) -> None:
+        """Many words at a time with a mark between them, as each call has a price."""
+        for at in range(0, len(self.new), 20_000):
+            words = [w.decode("utf-8", "replace") for w in self.new[at : at + 20_000]]
+            if len(self.mark) == 1 and not any(MARK in w for w in words):
+                ids = np.array(self.encode([f" {MARK} ".join(words)])[0], "<u4")
+                ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+                starts = np.append(0, ends[:-1] + 1)
+            else:
+                each = self.encode(words)
+                ids = np.array([i for found in each for i in found], "<u4")
+                ends = np.cumsum([len(found) for found in each])
+                starts = np.append(0, ends[:-1])
+            if len(ends) != len(words):
+                raise ValueError("the tokenizer does not handle words on their own")
+            self.start.extend((starts + len(self.pool)).tolist())
+            self.size.extend((ends - starts).tolist())
+            self.pool.frombytes(ids.tobytes())
+        self.new = []
+
+    def of(self, documents: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self) > self.limit:
+            self.forget()
+        places = []
+        for text in documents:
+            words = text.split()
+            places.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        self.learn()
         start, size, pool = np.array(self.start), np.array(self.size), np.array(self.pool, "<u4")
-        for words in documents:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        for at in places:
             n = size[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             yield pool[np.repeat(start[at] - ends + n, n) + np.arange(total)]
 
 
+@functools.lru_cache(1)
+def _coder(path: str) -> WordIds:
+    """One for each worker process, whose words serve all its tasks."""
+    return WordIds(path)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, max_length: int = MAX_LENGTH) -> DataFrame:
     """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; ids are little-endian 32-bit numbers.
 
@@ -79,15 +115,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_length: int = MAX_LEN
         raise ValueError("max_length must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        coder = _coder(tokenizer)
         end = np.array([end_id], "<u4")
         for batch in batches:
             # Slices of bounded text, however long the rows are.
             for rows in _slices(batch):
                 keys = [r[0] for r in rows]
-                split = [r[1].decode("utf-8", "replace").replace("\n", " ").split(" ") for r in rows]
                 out: list[tuple] = []
-                for key, ids in zip(keys, coder.of(split)):
+                for key, ids in zip(keys, coder.of([r[1] for r in rows])):
                     ids = np.concatenate([ids, end])
                     at = 0
                     for length in binary_lengths(len(ids), max_length):
@@ -102,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_length: int = MAX_LEN
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[list[tuple]]:
+def _slices(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[list[tuple]]:
     rows, size = [], 0
     for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
         value = text.as_py()
