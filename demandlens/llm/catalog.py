@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat, exact_dedup, packing, substring_dedup, url_filter
+from demandlens.llm import chat, exact_dedup, packing, substring_dedup, suffix_dedup, url_filter
 from demandlens.llm.common import read_table
 
 #: The url filter's rules (fixed values).
@@ -52,6 +52,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_events(chat.as_events(table.unionByName(more))))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), vocabulary(), END_ID)
     return pieces.select(
@@ -60,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op6_url_filter, op7_chat_format, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op6_url_filter, op7_chat_format, op9_suffix_dedup, op10_packing)
 }
 
 SQL = {

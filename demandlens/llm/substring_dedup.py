@@ -38,8 +38,8 @@ CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 12_000_000
 #: Stands for a missing id.
 LAST = np.iinfo(np.int64).max
 
-_EDGES = "bucket int, chunk int, hashes binary"
-_SHARED = "chunk int, bucket int, shared binary"
+EDGES = "bucket int, chunk int, hashes binary"
+SHARED = "chunk int, bucket int, shared binary"
 _PLACED = "bucket int, chunk int, hashes binary, docs binary, places binary"
 _SOURCES = "chunk int, hashes binary, docs binary, places binary"
 _RESULT = (
@@ -48,18 +48,18 @@ _RESULT = (
 )
 
 
-def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+def table_of(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.values())], names=list(schema))
 
 
-_I, _B, _L = pa.int32(), pa.binary(), pa.int64()
+INT, BIN, LONG = pa.int32(), pa.binary(), pa.int64()
 
 
 class Chunk:
     """The words of a chunk's documents in the order of ids, and the edges of them all in one array."""
 
     def __init__(self, table: pa.Table, k: int):
-        keys = table.column("doc_id").cast(_L)
+        keys = table.column("doc_id").cast(LONG)
         ids = keys.fill_null(LAST).to_numpy()
         order = np.argsort(ids, kind="stable")
         column = table.column("text")
@@ -81,17 +81,35 @@ def ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _cuts(sorted_buckets: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+def cuts(sorted_buckets: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     at = np.searchsorted(sorted_buckets, np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(at)):
         yield int(b), slice(int(at[b]), int(at[b + 1]))
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
+def starts_of(keys: np.ndarray) -> np.ndarray:
     """Where groups of equal neighbours start."""
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
 
 
+def shared(table: pa.Table) -> pa.Table:
+    """For each chunk's sorted hashes in a bucket, one bit each: whether another chunk has it."""
+    bucket = table.column("bucket")[0].as_py()
+    sent = [unpack(x.as_py()) for x in table.column("hashes")]
+    hashes = np.concatenate(sent)
+    order = np.argsort(hashes)
+    equal = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(hashes), bool)
+    twice[order[1:]] = equal
+    twice[order[:-1]] |= equal
+    ends = np.cumsum([len(x) for x in sent])
+    rows = [
+        (c.as_py(), bucket, np.packbits(twice[e - len(x) : e]).tobytes())
+        for c, x, e in zip(table.column("chunk"), sent, ends)
+    ]
+    return table_of({"chunk": INT, "bucket": INT, "shared": BIN}, rows)
+
+
 def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept`` (the words left, one space between) and ``spans``."""
     size = text_bytes(docs)
@@ -101,47 +119,31 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     def edges(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()
         found = np.unique(Chunk(table, k).first)
-        rows = [(b, number, pack(found[s])) for b, s in _cuts(ranges(found, buckets), buckets)]
-        return _table({"bucket": _I, "chunk": _I, "hashes": _B}, rows)
-
-    def shared(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        sent = [unpack(x.as_py()) for x in table.column("hashes")]
-        hashes = np.concatenate(sent)
-        order = np.argsort(hashes)
-        equal = hashes[order][1:] == hashes[order][:-1]
-        twice = np.zeros(len(hashes), bool)
-        twice[order[1:]] = equal
-        twice[order[:-1]] |= equal
-        ends = np.cumsum([len(x) for x in sent])
-        rows = [
-            (c.as_py(), bucket, np.packbits(twice[e - len(x) : e]).tobytes())
-            for c, x, e in zip(table.column("chunk"), sent, ends)
-        ]
-        return _table({"chunk": _I, "bucket": _I, "shared": _B}, rows)
+        rows = [(b, number, pack(found[s])) for b, s in cuts(ranges(found, buckets), buckets)]
+        return table_of({"bucket": INT, "chunk": INT, "hashes": BIN}, rows)
 
     def placed(table: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = {"bucket": _I, "chunk": _I, "hashes": _B, "docs": _B, "places": _B}
+        schema = {"bucket": INT, "chunk": INT, "hashes": BIN, "docs": BIN, "places": BIN}
         if not table.num_rows or not answers.num_rows:
-            return _table(schema, [])
+            return table_of(schema, [])
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, k)
         found = np.unique(chunk.first)
         twice = np.zeros(len(found), bool)
         masks = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()))
-        for b, s in _cuts(ranges(found, buckets), buckets):
+        for b, s in cuts(ranges(found, buckets), buckets):
             twice[s] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=s.stop - s.start)
         some = np.flatnonzero(twice[np.searchsorted(found, chunk.first)])
         bucket, second = ranges(chunk.first[some], buckets), chunk.second[some]
         # The first of equal edges stays; rows are in the order of ids, edges in that of places.
         order = np.lexsort((second, bucket))
-        first = order[_starts(second[order])]
+        first = order[starts_of(second[order])]
         bucket = bucket[first]
         first = some[first]
         rows = [
             (b, number, pack(chunk.second[first[s]]), pack(chunk.ids[chunk.row[first[s]]]), pack(chunk.place[first[s]]))
-            for b, s in _cuts(bucket, buckets)
+            for b, s in cuts(bucket, buckets)
         ]
-        return _table(schema, rows)
+        return table_of(schema, rows)
 
     def sources(table: pa.Table) -> pa.Table:
         sent = [unpack(x.as_py()) for x in table.column("hashes")]
@@ -149,7 +151,7 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
         ids = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("docs")])
         places = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("places")])
         order = np.lexsort((ids, hashes))
-        starts = _starts(hashes[order])
+        starts = starts_of(hashes[order])
         source = np.empty(len(order), np.int64)
         source[order] = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
         smaller = ids[source] < ids
@@ -159,13 +161,13 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
             end += len(x)
             if len(some):
                 rows.append((c.as_py(), pack(hashes[some]), pack(ids[source[some]]), pack(places[source[some]])))
-        return _table({"chunk": _I, "hashes": _B, "docs": _B, "places": _B}, rows)
+        return table_of({"chunk": INT, "hashes": BIN, "docs": BIN, "places": BIN}, rows)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, k)
         order = np.argsort(chunk.second, kind="stable")
         keys = chunk.second[order]
-        starts = _starts(keys)
+        starts = starts_of(keys)
         source, place = chunk.ids[chunk.row[order[starts]]], chunk.place[order[starts]]
         if answers.num_rows:
             asked = np.concatenate([unpack(x.as_py()) for x in answers.column("hashes")])
@@ -184,10 +186,10 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
             left = words if kept is None else [w for w, keep in zip(words, kept) if keep]
             key = None if chunk.null[i] else int(chunk.ids[i])
             rows.append((key, len(words), len(words) - len(left), b" ".join(left), spans))
-        span = pa.list_(pa.struct([(n, _L) for n in ("start", "length", "source_id", "source_start")]))
-        return _table({"doc_id": _L, "n_words": _L, "n_removed": _L, "kept": _B, "spans": span}, rows)
+        span = pa.list_(pa.struct([(n, LONG) for n in ("start", "length", "source_id", "source_start")]))
+        return table_of({"doc_id": LONG, "n_words": LONG, "n_removed": LONG, "kept": BIN, "spans": span}, rows)
 
-    known = chunks.groupBy("chunk").applyInArrow(edges, _EDGES).groupBy("bucket").applyInArrow(shared, _SHARED)
+    known = chunks.groupBy("chunk").applyInArrow(edges, EDGES).groupBy("bucket").applyInArrow(shared, SHARED)
     paired = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(placed, _PLACED)
     origin = paired.groupBy("bucket").applyInArrow(sources, _SOURCES)
     return chunks.groupBy("chunk").cogroup(origin.groupBy("chunk")).applyInArrow(cut, _RESULT)
