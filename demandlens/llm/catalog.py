@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat, exact_dedup, packing, substring_dedup, suffix_dedup, url_filter
+from demandlens.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, toxicity, url_filter
 from demandlens.llm.common import read_table
 
 #: The url filter's rules (fixed values).
@@ -36,6 +36,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(read_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
@@ -52,6 +60,22 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_events(chat.as_events(table.unionByName(more))))
 
 
+def held_out(doc_id: str) -> F.Column:
+    """The fold that no label is learned from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    return toxicity.fit(docs, labels.filter(~held_out("doc_id")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,7 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op6_url_filter, op7_chat_format, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_ngram_jaccard, op4_decontamination, op6_url_filter, op7_chat_format, op8_toxicity, op9_suffix_dedup, op10_packing)
 }
 
 SQL = {
