@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandlens.llm import exact_dedup, packing
-from demandlens.llm.catalog import END_ID, vocabulary
+from demandlens.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from demandlens.llm.catalog import END_ID, toxicity_model, vocabulary
 from demandlens.llm.common import read_table
 from demandlens.session import stage
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return toxicity.drop_toxic(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text stays, the one with the smallest id."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id stays: five words a shingle, 0.8."""
+    return jaccard_join.keep_first(docs, words=5, percent=80)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two length."""
     return packing.pack(docs, vocabulary(), END_ID)
@@ -24,7 +39,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", clean),
     ("exact dedup", exact),
+    ("ngram jaccard join", near),
+    ("benchmark decontamination", unseen),
     ("packing", pack),
 ]
 

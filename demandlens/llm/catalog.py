@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, toxicity, url_filter
+from demandlens.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 from demandlens.llm.common import read_table
 
 #: The url filter's rules (fixed values).
@@ -44,6 +44,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(f"n_{kind}" for kind in pii.KINDS),
+        F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
@@ -89,7 +99,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_ngram_jaccard, op4_decontamination, op6_url_filter, op7_chat_format, op8_toxicity, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_ngram_jaccard, op4_decontamination, op5_pii, op6_url_filter, op7_chat_format, op8_toxicity, op9_suffix_dedup, op10_packing)
 }
 
 SQL = {
