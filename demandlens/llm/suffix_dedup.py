@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,7 @@ from demandlens.llm.substring_dedup import BIN, EDGES, INT, LONG, SHARED, cuts,
 LENGTH = 200
 #: Bytes of an anchor and of each later digit.
 ANCHOR, DIGIT = 16, 50
-CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 4_000_000
+CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 2_000_000
 #: Strings of a document that are looked at together; positions in such a part take 20 bits.
 PART = 500_000
 
@@ -75,6 +76,52 @@ def _rows(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
         yield key, text.as_py()
 
 
+def _by_anchor(anchors_of: np.ndarray, sizes: np.ndarray, limit: int = 500_000) -> Iterator[slice]:
+    """Slices of whole anchors, of ``limit`` bytes each or one anchor."""
+    bounds = [*(np.flatnonzero(np.diff(anchors_of)) + 1).tolist(), len(sizes)]
+    before = np.append(0, np.cumsum(sizes))
+    begin = at = 0
+    for end in bounds:
+        if before[end] - before[begin] > limit and at > begin:
+            yield slice(begin, at)
+            begin = at
+        at = end
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def _repeated(
+    data: bytes, sizes: np.ndarray, anchor: np.ndarray, offset: np.ndarray, weight: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, first and last string of the runs of strings that are not alone, by passes over the digits."""
+    values = np.frombuffer(data, np.uint8)
+    digits = np.empty(max(0, len(values) - DIGIT + 1), np.uint64)
+    for begin in range(0, len(digits), PART):
+        part = windows(values[begin : begin + PART + DIGIT - 1], DIGIT)
+        digits[begin : begin + len(part)] = part
+    n = sizes - length + 1
+    total = int(n.sum())
+    owner = np.repeat(np.arange(len(n)), n)
+    step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(np.cumsum(sizes) - sizes, n) + step
+    group = mix(anchor[owner] + mix((offset[owner] - step).astype(np.uint64)))
+    active = np.arange(total)
+    for depth in [*range(0, length - DIGIT, DIGIT), length - DIGIT]:
+        group = mix(group + digits[place[active] + depth])
+        order = np.argsort(group)
+        ordered = group[order]
+        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(order)]
+        each = np.add.reduceat(weight[owner[active[order]]], starts) if len(order) else starts
+        stays = order[np.repeat(each > 1, np.diff(np.append(starts, len(order))))]
+        stays.sort()
+        active, group = active[stays], group[stays]
+    if not len(active):
+        return active, active, active
+    cut = np.flatnonzero((np.diff(active) != 1) | (np.diff(owner[active]) != 0))
+    first, last = active[np.append(0, cut + 1)], active[np.append(cut, len(active) - 1)]
+    return owner[first], step[first], step[last]
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left)."""
     if length < ANCHOR + DIGIT:
@@ -131,34 +178,20 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return table_of(schema, rows)
 
     def sort(table: pa.Table) -> pa.Table:
-        column = table.column("context")
-        sizes = np.array([len(x.as_py()) for x in column], np.int64)
-        data = np.frombuffer(b"".join(x.as_py() for x in column), np.uint8)
-        weight = np.array([len(x.as_py()) // 8 for x in table.column("places")], np.int64)
-        n = sizes - length + 1
-        total = int(n.sum())
-        owner = np.repeat(np.arange(len(n)), n)
-        step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(np.cumsum(sizes) - sizes, n) + step
-        offset = table.column("offset").to_numpy()[owner] - step
-        group = mix(table.column("anchor").to_numpy().view(np.uint64)[owner] + mix(offset.astype(np.uint64)))
-        digits = windows(data, DIGIT)
-        active = np.arange(total)
-        for depth in [*range(0, length - DIGIT, DIGIT), length - DIGIT]:
-            group = mix(group + digits[place[active] + depth])
-            order = np.argsort(group)
-            starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))[: len(order)]
-            each = np.add.reduceat(weight[owner[active[order]]], starts) if len(order) else starts
-            stays = order[np.repeat(each > 1, np.diff(np.append(starts, len(order))))]
-            stays.sort()
-            active, group = active[stays], group[stays]
+        column, numbers = table.column("context"), table.column("chunk").to_numpy()
+        keys, places = table.column("docs"), table.column("places")
+        first_digit = table.column("anchor").to_numpy().view(np.uint64)
+        offset = table.column("offset").to_numpy()
+        sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+        weight = pc.binary_length(places).to_numpy() // 8
+        order = np.argsort(first_digit, kind="stable")
         # Runs of neighbouring strings of one context, at every place that the context stands for.
         out: dict[int, list] = defaultdict(list)
-        if len(active):
-            cut = np.flatnonzero((np.diff(active) != 1) | (np.diff(owner[active]) != 0))
-            first, last = active[np.append(0, cut + 1)], active[np.append(cut, len(active) - 1)]
-            numbers, keys, places = table.column("chunk").to_numpy(), table.column("docs"), table.column("places")
-            for c, a, z in zip(owner[first].tolist(), step[first].tolist(), step[last].tolist()):
+        for some in _by_anchor(first_digit[order], sizes[order]):
+            some = order[some]
+            data = b"".join(column[int(i)].as_py() for i in some)
+            found = _repeated(data, sizes[some], first_digit[some], offset[some], weight[some], length)
+            for c, a, z in zip(some[found[0]].tolist(), found[1].tolist(), found[2].tolist()):
                 start = np.frombuffer(places[c].as_py(), np.int64)
                 out[int(numbers[c])].append((np.frombuffer(keys[c].as_py(), np.uint64), start + a, start + z + length))
         rows = [(c, *(pack(np.concatenate([r[i] for r in runs])) for i in range(3))) for c, runs in out.items()]
