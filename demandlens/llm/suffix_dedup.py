@@ -63,7 +63,8 @@ def anchors(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndar
         place = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         at = place[first]
-        yield grams[at], at + begin, first + begin, np.append(first[1:], n) + begin
+        # Smallest hashes are small; buckets are ranges, so they are mixed once more.
+        yield mix(grams[at]), at + begin, first + begin, np.append(first[1:], n) + begin
 
 
 def _doc_key(doc_id: int | None, text: bytes) -> int:
