@@ -132,12 +132,13 @@ def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.regexp_replace("found", r"^[(\[\"'<]+|[)\]\"'>.,;:!?]+$", "").alias("value"),
         F.length(F.regexp_extract("found", r"^[(\[\"'<]+", 0)).alias("lead"),
     )
-    base = found.filter(F.col("kind").isin(*KINDS)).select("row", "kind", "start", "end")
+    base = found.filter(F.col("kind").isin(*KINDS)).select("row", "kind", "start", "end", F.col("found").alias("seed"))
     # A run that a base span starts in is that span's; the word before it is the seed's pattern.
     touched = tokens.join(base, "row", "left").filter(F.col("kind").isNotNull() & (F.col("from") < F.col("end")) & (F.col("start") < F.col("to")))
-    kinds = touched.groupBy("row", "from").agg(F.min(F.struct("start", "kind")).alias("s"))
-    kinds = kinds.select("row", "from", F.col("s.kind").alias("kind"), (F.col("s.start") >= F.col("from")).alias("first"))
-    graph = stage(tokens.join(kinds, ["row", "from"], "left").filter("value <> '' AND (kind IS NULL OR first)"), "graph")
+    kinds = touched.groupBy("row", "from").agg(F.min(F.struct("start", "kind", "seed")).alias("s"))
+    kinds = kinds.select("row", "from", F.col("s.kind").alias("kind"), F.col("s.seed").alias("seed"), (F.col("s.start") >= F.col("from")).alias("first"))
+    graph = tokens.join(kinds, ["row", "from"], "left").filter("value <> '' AND (kind IS NULL OR first)")
+    graph = stage(graph.withColumn("value", F.coalesce("seed", "value")), "graph")
     words = (
         graph.filter("word <> ''")
         .groupBy("word")
