@@ -162,8 +162,31 @@ class Index:
         return found[shared * 100 >= percent * (self.n[found] + len(probe) - shared)]
 
 
+def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect the same ids, one for each id at most."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = above[x]
+        return x
+
+    kept = []
+    for a, b in links:
+        first, second = top(a), top(b)
+        if first != second:
+            above[second] = first
+            kept.append((a, b))
+    return kept
+
+
 def search(docs: DataFrame, pairs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
-    """Links ``a, b`` among the candidate ``pairs``; further links between a probe and a chunk's candidates may follow."""
+    """Links ``a, b`` that connect whatever links of the candidate ``pairs`` connect.
+
+    A chunk gives a spanning set of the links that it finds, so a group of near copies gives as many links
+    as it has members, not as pairs.
+    """
     chunks = parts(size, CHUNK_BYTES)
     table = chunked(docs, chunks)
     number = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(chunks)).cast("int")
@@ -196,6 +219,7 @@ def search(docs: DataFrame, pairs: DataFrame, words: int, percent: int, size: in
             for a, found in zip(sent.column("a").to_pylist(), sent.column("found")):
                 if found.is_valid:
                     links.extend((a, int(b)) for b in index.ids[index.search(unpack(found.as_py()), percent)] if b != a)
+            links = spanning(links)
         return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
     sets = table.groupBy("chunk").cogroup(probes.groupBy("chunk")).applyInArrow(send, "chunk int, a long, found binary")
