@@ -11,6 +11,9 @@ that such a string covers goes. The passes:
    contexts of a chunk are sent once, with the places they stand for, so copies cost one row a chunk.
 3. A bucket sorts its strings by offset and by digits of 50 bytes each; what is alone in its group after
    a pass leaves. Strings are compared by 64-bit hashes of the digits, all within one anchor's group.
+4. An anchor with more than ``HOT_RUNS`` runs (a short passage that a third of all documents share) would
+   make its bucket large. Its strings take all digits at once: a chunk sends each distinct one's 64-bit
+   hash to the bucket of that hash's range, so such a group is spread over all buckets.
 
 The places of what is left go back to the documents. Chunks and buckets are bounded by the number of
 bytes, the texts are shuffled once, and all passes read that shuffle.
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from demandlens.llm.common import chunked, mix, pack, parts, text_bytes, unpack, windows
-from demandlens.llm.substring_dedup import BIN, EDGES, INT, LONG, SHARED, cuts, ranges, shared, table_of
+from demandlens.llm.substring_dedup import BIN, INT, LONG, cuts, ranges, table_of
 
 LENGTH = 200
 #: Bytes of an anchor and of each later digit.
@@ -40,9 +43,16 @@ ANCHOR, DIGIT = 16, 50
 CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 2_000_000
 #: Strings of a document that are looked at together; positions in such a part take 20 bits.
 PART = 500_000
+#: Runs of one anchor that a bucket sorts together, about 3 MB of contexts.
+HOT_RUNS = 10_000
 
-_CONTEXTS = "bucket int, chunk int, anchor long, offset int, context binary, docs binary, places binary"
-_RUNS = "chunk int, docs binary, starts binary, ends binary"
+_ANCHORS = "bucket int, chunk int, hashes binary, runs binary"
+_KINDS = "chunk int, bucket int, kinds binary"
+_CONTEXTS = (
+    "bucket int, chunk int, anchor long, offset int, context binary, docs binary, places binary, "
+    "strings binary, often binary"
+)
+_RUNS = "chunk int, docs binary, starts binary, ends binary, strings binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -123,7 +133,46 @@ def _repeated(
     return owner[first], step[first], step[last]
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+#: Kinds of anchors: one run only, several, too many for a bucket.
+ALONE, SEVERAL, HOT = 0, 1, 2
+
+
+def _kinds(table: pa.Table, hot_runs: int) -> pa.Table:
+    """For each chunk's sorted anchors in a bucket, one byte each: their kind over all chunks."""
+    bucket = table.column("bucket")[0].as_py()
+    sent = [unpack(x.as_py()) for x in table.column("hashes")]
+    runs = np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("runs")])
+    _, group = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(group, runs)[group]
+    kinds = ((total > 1).astype(np.uint8) + (total > hot_runs)).astype(np.uint8)
+    ends = np.cumsum([len(x) for x in sent])
+    rows = [(c.as_py(), bucket, kinds[e - len(x) : e].tobytes()) for c, x, e in zip(table.column("chunk"), sent, ends)]
+    return table_of({"chunk": INT, "bucket": INT, "kinds": BIN}, rows)
+
+
+def _repeated_hashes(table: pa.Table) -> list[tuple[int, bytes]]:
+    """Per chunk, which of the strings it sent occur twice or more over all chunks."""
+    if not table.num_rows:
+        return []
+    sent = [unpack(x.as_py()) for x in table.column("strings")]
+    often = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("often")])
+    _, group = np.unique(np.concatenate(sent), return_inverse=True)
+    twice = (np.bincount(group, often) > 1)[group]
+    ends = np.cumsum([len(x) for x in sent])
+    found = [(c.as_py(), x[twice[e - len(x) : e]]) for c, x, e in zip(table.column("chunk"), sent, ends)]
+    return [(c, pack(x)) for c, x in found if len(x)]
+
+
+def _places(text: bytes, strings: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """Where one of the sorted ``strings`` (hashes) starts, by parts of the text."""
+    data = np.frombuffer(text, np.uint8)
+    for begin in range(0, len(data) - length + 1 if len(strings) else 0, PART):
+        here = windows(data[begin : begin + PART + length - 1], length)
+        at = np.searchsorted(strings, here)
+        yield np.flatnonzero(strings[np.minimum(at, len(strings) - 1)] == here) + begin
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left)."""
     if length < ANCHOR + DIGIT:
         raise ValueError(f"length must be {ANCHOR + DIGIT} at least")
@@ -133,13 +182,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def first_digits(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()
-        found = [np.unique(a[0]) for _, t in _rows(table) for a in anchors(np.frombuffer(t, np.uint8), length)]
-        found = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]))
-        rows = [(b, number, pack(found[s])) for b, s in cuts(ranges(found, buckets), buckets)]
-        return table_of({"bucket": INT, "chunk": INT, "hashes": BIN}, rows)
+        found = [a[0] for _, t in _rows(table) for a in anchors(np.frombuffer(t, np.uint8), length)]
+        found, runs = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+        rows = [(b, number, pack(found[s]), pack(runs[s].astype(np.uint32))) for b, s in cuts(ranges(found, buckets), buckets)]
+        return table_of({"bucket": INT, "chunk": INT, "hashes": BIN, "runs": BIN}, rows)
 
     def contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = {"bucket": INT, "chunk": INT, "anchor": LONG, "offset": INT, "context": BIN, "docs": BIN, "places": BIN}
+        schema = {"bucket": INT, "chunk": INT, "anchor": LONG, "offset": INT, "context": BIN, "docs": BIN, "places": BIN, "strings": BIN, "often": BIN}
         if not table.num_rows or not answers.num_rows:
             return table_of(schema, [])
         number = table.column("chunk")[0].as_py()
@@ -150,17 +199,20 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not held:
             return table_of(schema, [])
         hashes = np.concatenate([h[2] for h in held])
-        found, group, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        twice = counts > 1
-        masks = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()))
-        for b, s in cuts(ranges(found, buckets), buckets):
-            twice[s] |= np.unpackbits(np.frombuffer(masks[b], np.uint8), count=s.stop - s.start).astype(bool)
-        wanted, end_of = twice[group], 0
+        found, group = np.unique(hashes, return_inverse=True)
+        told = dict(zip(answers.column("bucket").to_pylist(), answers.column("kinds").to_pylist()))
+        kinds = [np.frombuffer(told[b], np.uint8) for b, _ in cuts(ranges(found, buckets), buckets)]
+        kind, end_of = np.concatenate(kinds)[group], 0
         column = table.column("text")
         seen: dict[tuple[int, int, bytes], tuple[list, list]] = defaultdict(lambda: ([], []))
+        strings = [np.zeros(0, np.uint64)]
         for i, key, hashes, offset, first, end in held:
-            some = np.flatnonzero(wanted[end_of : end_of + len(hashes)])
+            here = kind[end_of : end_of + len(hashes)]
+            some, hot = np.flatnonzero(here == SEVERAL), here == HOT
             end_of += len(hashes)
+            if hot.any():
+                part = np.frombuffer(column[i].as_py(), np.uint8)[first[0] : end[-1] + length - 1]
+                strings.append(windows(part, length)[np.repeat(hot, end - first)])
             if len(some):
                 text = column[i].as_py()
                 doc = _doc_key(key, text)
@@ -168,17 +220,21 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     docs_of, places = seen[h, o, text[f : e + length - 1]]
                     docs_of.append(doc)
                     places.append(f)
-        if not seen:
-            return table_of(schema, [])
         bucket = ranges(np.array([k[0] for k in seen], np.uint64), buckets).tolist()
         signed = np.array([k[0] for k in seen], np.uint64).view(np.int64)
         rows = [
-            (b, number, int(a), k[1], k[2], np.array(d, np.uint64).tobytes(), np.array(p, np.int64).tobytes())
+            (b, number, int(a), k[1], k[2], np.array(d, np.uint64).tobytes(), np.array(p, np.int64).tobytes(), None, None)
             for b, a, (k, (d, p)) in zip(bucket, signed, seen.items())
         ]
+        distinct, often = np.unique(np.concatenate(strings), return_counts=True)
+        often = np.minimum(often, 2).astype(np.uint8)
+        for b, s in cuts(ranges(distinct, buckets), buckets):
+            rows.append((b, number, None, None, None, None, None, pack(distinct[s]), often[s].tobytes()))
         return table_of(schema, rows)
 
     def sort(table: pa.Table) -> pa.Table:
+        spread = pc.is_valid(table.column("strings"))
+        hot, table = table.filter(spread), table.filter(pc.invert(spread))
         column, numbers = table.column("context"), table.column("chunk").to_numpy()
         keys, places = table.column("docs"), table.column("places")
         first_digit = table.column("anchor").to_numpy().view(np.uint64)
@@ -195,11 +251,17 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for c, a, z in zip(some[found[0]].tolist(), found[1].tolist(), found[2].tolist()):
                 start = np.frombuffer(places[c].as_py(), np.int64)
                 out[int(numbers[c])].append((np.frombuffer(keys[c].as_py(), np.uint64), start + a, start + z + length))
-        rows = [(c, *(pack(np.concatenate([r[i] for r in runs])) for i in range(3))) for c, runs in out.items()]
-        return table_of({"chunk": INT, "docs": BIN, "starts": BIN, "ends": BIN}, rows)
+        rows = [(c, *(pack(np.concatenate([r[i] for r in runs])) for i in range(3)), None) for c, runs in out.items()]
+        rows += [(c, None, None, None, x) for c, x in _repeated_hashes(hot)]
+        return table_of({"chunk": INT, "docs": BIN, "starts": BIN, "ends": BIN, "strings": BIN}, rows)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         runs: dict[int, np.ndarray] = {}
+        strings = np.zeros(0, np.uint64)
+        if answers.num_rows:
+            strings = np.concatenate([strings, *(unpack(x.as_py()) for x in answers.column("strings").drop_null())])
+            strings.sort()
+            answers = answers.filter(pc.is_valid(answers.column("docs")))
         if answers.num_rows:
             keys = np.concatenate([unpack(x.as_py()) for x in answers.column("docs")])
             both = np.stack([np.concatenate([unpack(x.as_py(), np.int64) for x in answers.column(c)]) for c in ("starts", "ends")])
@@ -211,17 +273,21 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for key, text in _rows(table):
             found = runs.get(_doc_key(key, text)) if runs else None
             removed, spans, left = 0, 0, text
+            change = np.zeros(len(text) + 1, np.int32)
             if found is not None:
-                change = np.zeros(len(text) + 1, np.int32)
                 np.add.at(change, found[0], 1)
                 np.add.at(change, found[1], -1)
+            for at in _places(text, strings, length):
+                change[at] += 1
+                change[at + length] -= 1
+            if change.any():
                 gone = np.cumsum(change)[:-1] > 0
                 removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 left = np.frombuffer(text, np.uint8)[~gone].tobytes()
             rows.append((key, len(text), removed, spans, left))
         return table_of({"doc_id": LONG, "n_bytes": LONG, "n_removed": LONG, "n_spans": LONG, "kept": BIN}, rows)
 
-    known = chunks.groupBy("chunk").applyInArrow(first_digits, EDGES).groupBy("bucket").applyInArrow(shared, SHARED)
+    known = chunks.groupBy("chunk").applyInArrow(first_digits, _ANCHORS).groupBy("bucket").applyInArrow(lambda t: _kinds(t, hot_runs), _KINDS)
     spans = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(contexts, _CONTEXTS)
     runs = spans.groupBy("bucket").applyInArrow(sort, _RUNS)
     return chunks.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(cut, _RESULT)
