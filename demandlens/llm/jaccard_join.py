@@ -11,9 +11,10 @@ A-Z is lower-cased; a document's set is its distinct shingles of ``words`` words
 4. Only pairs of one list whose components still differ are candidates then, so a group of near copies
    never becomes all its pairs, and no pair that could join two components is left out.
 
-Candidates are searched where the documents are: the probe's set goes to each chunk that holds candidates
-of it, once; the chunk has an inverted index of these and merges the probe's short lists, keeps what
-occurs often enough and probes the long lists by binary search (DivideSkip). Components are found by joins.
+Candidates are searched where the documents are: the probe's text, compressed, goes to each chunk that holds
+candidates of it, once (a text is a third as large as its hashed shingles); the chunk has an inverted index of
+these and merges the probe's short lists, keeps what occurs often enough and probes the long lists by binary
+search (DivideSkip). Components are found by joins.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; with fewer than
 ``words`` words the whole sequence is the only shingle. Rows without an id take part in no link and are
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +183,17 @@ def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
+def compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    press = zstandard.ZstdCompressor()
+    for batch in batches:
+        yield pa.array([press.compress(x.as_py()) for x in batch], pa.binary())
+
+
+def _rank(found: np.ndarray) -> tuple[int, bytes]:
+    """Of rows that share an id the larger set speaks for it, as in ``similar``."""
+    return len(found), xxhash.xxh3_128_digest(found.tobytes())
+
+
 def search(docs: DataFrame, pairs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
     """Links ``a, b`` that connect whatever links of the candidate ``pairs`` connect.
 
@@ -188,43 +201,41 @@ def search(docs: DataFrame, pairs: DataFrame, words: int, percent: int, size: in
     as it has members, not as pairs.
     """
     chunks = parts(size, CHUNK_BYTES)
-    table = chunked(docs, chunks)
+    table = chunked(docs, chunks).withColumn("text", F.arrow_udf(compressed, "binary")("text"))
     number = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(chunks)).cast("int")
     asked = pairs.select("a", "b", number("a").alias("chunk"), number("b").alias("goal"))
     probes = asked.select("chunk", "a", "goal").distinct()
     goals = asked.select(F.col("goal").alias("chunk"), "a", "b")
 
-    def read(rows: pa.Table, wanted: set) -> dict[int, np.ndarray]:
-        found = {}
+    def opened(text: bytes) -> np.ndarray:
+        return shingles(zstandard.ZstdDecompressor().decompress(text), words)
+
+    def read(rows: pa.Table, wanted: set) -> dict[int, bytes]:
+        found: dict[int, list[bytes]] = {}
         for key, text in zip(rows.column("doc_id").to_pylist(), rows.column("text")):
             if key in wanted:
-                value = shingles(text.as_py(), words)
-                # Of rows that share an id the larger set speaks for it, as in ``similar``.
-                rank = (len(value), xxhash.xxh3_128_digest(value.tobytes()))
-                if key not in found or rank > found[key][0]:
-                    found[key] = (rank, value)
-        return {key: value for key, (_, value) in found.items()}
+                found.setdefault(key, []).append(text.as_py())
+        return {key: some[0] if len(some) == 1 else max(some, key=lambda t: _rank(opened(t))) for key, some in found.items()}
 
     def send(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        sets = read(rows, set(wanted.column("a").to_pylist())) if wanted.num_rows and rows.num_rows else {}
-        out = [(g, a, pack(sets[a])) for a, g in zip(wanted.column("a").to_pylist(), wanted.column("goal").to_pylist()) if a in sets]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["chunk", "a", "found"])
+        held = read(rows, set(wanted.column("a").to_pylist())) if wanted.num_rows and rows.num_rows else {}
+        out = [(g, a, held[a]) for a, g in zip(wanted.column("a").to_pylist(), wanted.column("goal").to_pylist()) if a in held]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["chunk", "a", "probe"])
 
     def look(rows: pa.Table, sent: pa.Table) -> pa.Table:
         links = []
         if rows.num_rows and sent.num_rows:
-            candidates = set(sent.column("b").to_pylist()) - {None}
-            sets = read(rows, candidates)
-            index = Index(list(sets), list(sets.values()))
-            for a, found in zip(sent.column("a").to_pylist(), sent.column("found")):
-                if found.is_valid:
-                    links.extend((a, int(b)) for b in index.ids[index.search(unpack(found.as_py()), percent)] if b != a)
+            held = read(rows, set(sent.column("b").to_pylist()) - {None})
+            index = Index(list(held), [opened(t) for t in held.values()])
+            for a, probe in zip(sent.column("a").to_pylist(), sent.column("probe")):
+                if probe.is_valid:
+                    links.extend((a, int(b)) for b in index.ids[index.search(opened(probe.as_py()), percent)] if b != a)
             links = spanning(links)
         return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    sets = table.groupBy("chunk").cogroup(probes.groupBy("chunk")).applyInArrow(send, "chunk int, a long, found binary")
-    to = sets.select("chunk", "a", F.lit(None).cast("long").alias("b"), "found").unionByName(
-        goals.select("chunk", F.lit(None).cast("long").alias("a"), "b", F.lit(None).cast("binary").alias("found")).distinct()
+    asking = table.groupBy("chunk").cogroup(probes.groupBy("chunk")).applyInArrow(send, "chunk int, a long, probe binary")
+    to = asking.select("chunk", "a", F.lit(None).cast("long").alias("b"), "probe").unionByName(
+        goals.select("chunk", F.lit(None).cast("long").alias("a"), "b", F.lit(None).cast("binary").alias("probe")).distinct()
     )
     return table.groupBy("chunk").cogroup(to.groupBy("chunk")).applyInArrow(look, "a long, b long")
 
