@@ -6,8 +6,9 @@ identifiers that follow them is scored in ``ROUNDS`` rounds: a pattern scores th
 the word anywhere in the corpus (a word that is not identifier-like scores 0), an identifier the
 probability that one of its patterns is right; seeds score 1. Identifier-like is a run without white space
 that has a digit or ``@``. Patterns of score ``LEAST`` with ``SUPPORT`` different identifiers add the
-identifiers behind them that no base span touches. At most ``PATTERNS`` of them, those with the most
-identifiers, are broadcast to count their words over all texts.
+identifiers behind them that no base span touches. Every word with ``SUPPORT`` different identifiers behind
+it takes part, also one without a seed, since a later round can reach it by an identifier it shares with
+another pattern. Their number grows with the corpus, so words, counts and scores are joined by shuffles.
 
 Everything is DataFrame operations. The patterns are written so that no alternative is tried twice and no
 group repeats: a separator that joins two parts is first replaced by a mark of the same length, so long
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from demandlens.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST, SUPPORT, PATTERNS = 3, 0.5, 3, 2_000
+ROUNDS, LEAST, SUPPORT = 3, 0.5, 3
 
 #: Stands for a joining separator; one in the text itself is first put out of the way.
 MARK, OTHER = "\uE000", "\uE001"
@@ -139,20 +140,12 @@ def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
     kinds = kinds.select("row", "from", F.col("s.kind").alias("kind"), F.col("s.seed").alias("seed"), (F.col("s.start") >= F.col("from")).alias("first"))
     graph = tokens.join(kinds, ["row", "from"], "left").filter("value <> '' AND (kind IS NULL OR first)")
     graph = stage(graph.withColumn("value", F.coalesce("seed", "value")), "graph")
-    words = (
-        graph.filter("word <> ''")
-        .groupBy("word")
-        .agg(F.countDistinct("value").alias("support"))
-        .filter(F.col("support") >= SUPPORT)
-        .orderBy(F.desc("support"), "word")
-        .limit(PATTERNS)
-    )
-    words = stage(words, "words")
-    # How often each word is followed by anything, over all texts.
+    linked = stage(graph.filter("word <> ''").groupBy("word", "value").agg(F.count("*").alias("n"), F.min("kind").alias("kind")), "linked")
+    words = linked.groupBy("word").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
+    # How often each word is followed by anything, over all texts; counted before the join, so each task sends a word once.
     every = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word"))
-    totals = stage(every.join(F.broadcast(words.select("word")), "word").groupBy("word").agg(F.count("*").alias("total")), "totals")
-    edges = graph.join(F.broadcast(totals), "word")
-    pairs = stage(edges.groupBy("word", "value", "total").agg(F.count("*").alias("n"), F.min("kind").alias("kind")), "pairs")
+    totals = stage(every.groupBy("word").agg(F.count("*").alias("total")).join(words, "word").select("word", "total"), "totals")
+    pairs = stage(linked.join(totals, "word").select("word", "value", "total", "n", "kind"), "pairs")
     scores = pairs.select("value", "kind").groupBy("value").agg(F.min("kind").alias("kind"))
     scores = stage(scores.select("value", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score")), "scores")
     patterns = None
@@ -168,12 +161,12 @@ def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
             patterns.select("word", F.col("b.kind").alias("kind"), (F.col("b.sum") / F.col("total")).alias("confidence"), F.col("b.support").alias("support")),
             "patterns",
         )
-        sure = F.broadcast(patterns.select("word", F.col("kind").alias("pattern_kind"), "confidence"))
+        sure = patterns.select("word", F.col("kind").alias("pattern_kind"), "confidence")
         right = F.least(F.col("confidence"), F.lit(0.999999))
-        linked = pairs.select("word", "value").join(sure, "word").groupBy("value").agg(
+        reached = pairs.select("word", "value").join(sure, "word").groupBy("value").agg(
             (1 - F.exp(F.sum(F.log1p(-right)))).alias("reached"), F.max(F.struct("confidence", "pattern_kind")).alias("by")
         )
-        known = scores.join(linked, "value", "left")
+        known = scores.join(reached, "value", "left")
         learned = F.coalesce(F.col("reached"), F.lit(0.0))
         scores = stage(
             known.select(
@@ -184,7 +177,7 @@ def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
             "scores",
         )
     good = patterns.filter((F.col("confidence") >= LEAST) & (F.col("support") >= SUPPORT)).select("word", F.col("kind").alias("by"))
-    new = graph.filter("kind IS NULL").join(F.broadcast(good), "word")
+    new = graph.filter("kind IS NULL").join(good, "word")
     start = F.col("from") + F.col("lead")
     new = new.select("row", F.col("by").alias("kind"), start.alias("start"), (start + F.length("value")).alias("end"))
     inside = base.select("row", F.col("start").alias("s"), F.col("end").alias("e"))

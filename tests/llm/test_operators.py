@@ -230,6 +230,17 @@ def test_pii_learns_a_pattern(spark):
     assert got[101] == ""
 
 
+def test_pii_learns_among_many_context_words(spark):
+    """2,400 words before more numbers each than the true patterns, one of which has no seed of its own."""
+    noise = [(1000 + i, " so ".join(f"w{chr(97 + i % 26)}{'x' * (i // 26)} {n}" for n in range(7))) for i in range(2400)]
+    seeds = [(i, f"call hotline: a{i}@b.org now") for i in range(5)]
+    shared = [(10 + i, f"so hotline: 55{i}-77 or desk: 55{i}-77 now") for i in range(3)]
+    rows = noise + seeds + shared + [(100, "so hotline: 999-77 now"), (101, "so desk: 888-77 now"), (102, "so wa 5 now")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 1000")
+    got = dict(found.select("doc_id", pii.joined("spans")).collect())
+    assert (got[100], got[101], got[102]) == ("email:12:18", "email:9:15", "")
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.example.net/en/x", "http://example.net/eng", "https://net/", "https://net", "http://x.org/fr/?q", "http://xorg/fr/", "http://b.example.com/de/#f"]
     table = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
