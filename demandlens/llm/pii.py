@@ -1,7 +1,8 @@
 """Personal data: base patterns find seeds, whose contexts are bootstrapped into patterns for more.
 
 Base kinds are email, ip, card and phone; spans are code points with an exclusive end. Seeds are what the
-base patterns find. Their lexical pattern is the word before them. The graph between patterns and the
+base patterns find. Their lexical pattern is the word before them, whatever its length or distance,
+and also where it is identifier-like itself. The graph between patterns and the
 identifiers that follow them is scored in ``ROUNDS`` rounds: a pattern scores the mean score of what follows
 the word anywhere in the corpus (a word that is not identifier-like scores 0), an identifier the
 probability that one of its patterns is right; seeds score 1. Identifier-like is a run without white space
@@ -37,17 +38,21 @@ EMAIL = f"(?:(?<![A-Za-z0-9._%+{MARK}-])|\\G)[A-Za-z0-9._%+{MARK}-]++@[A-Za-z0-9
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = f"[0-9][0-9{MARK}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Identifier-like runs, and the word that ends a gap before one.
+#: Identifier-like runs; they start and end at white space.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
 
 
 def _marked(text: Column, separator: str) -> Column:
     return F.regexp_replace(F.translate(text, MARK, OTHER), separator, MARK)
 
 
+def _last_word(gap: Column) -> Column:
+    """The last word of a gap of any length, empty if it has none."""
+    return F.substring_index(F.rtrim(F.translate(gap, "\t\n\x0b\f\r", " " * 5)), " ", -1)
+
+
 def _pieces(kind: str, text: Column, pattern: str, when: Column) -> Column:
-    """``kind, at, gap, found`` of each match: what lies before it and the match itself."""
+    """``kind, at, before, word, found`` of each match: the length of the gap before it, a token's last word there, itself."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.transform(
         found,
@@ -61,11 +66,11 @@ def _pieces(kind: str, text: Column, pattern: str, when: Column) -> Column:
             m["kind"].alias("kind"),
             m["at"].alias("at"),
             F.length(gap).cast("long").alias("before"),
-            F.right(gap, F.lit(80)).alias("gap"),
+            _last_word(gap).alias("word") if kind == "token" else F.lit("").alias("word"),
             m["found"].alias("found"),
         ),
     )
-    none = F.array().cast("array<struct<kind:string,at:int,before:bigint,gap:string,found:string>>")
+    none = F.array().cast("array<struct<kind:string,at:int,before:bigint,word:string,found:string>>")
     return F.when(when, paired).otherwise(none)
 
 
@@ -97,8 +102,9 @@ def _valid(kind: Column, found: Column) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, kind, start, end, found, gap``: base spans, identifier-like runs (kind ``token``), and one
-    row without a kind for a document that has neither. ``row`` tells repeated documents apart."""
+    """``row, doc_id, kind, start, end, found, word``: base spans, identifier-like runs (kind ``token``) with the
+    word before them, and one row without a kind for a document that has neither. ``row`` tells repeated
+    documents apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
     col = F.col("text")
@@ -119,7 +125,9 @@ def spans(docs: DataFrame) -> DataFrame:
     size = F.length("found").cast("long")
     upto = W.partitionBy("row", "doc_id", "kind").orderBy("at")
     end = F.sum(F.col("before") + size).over(upto)
-    placed = found.select("row", "doc_id", "kind", "gap", "found", (end - size).alias("start"), end.alias("end"))
+    # Where nothing but white space lies between two runs, the word before the second is the first.
+    word = F.when(F.col("word") == "", F.lag("found", 1, "").over(upto)).otherwise(F.col("word"))
+    placed = found.select("row", "doc_id", "kind", word.alias("word"), "found", (end - size).alias("start"), end.alias("end"))
     return placed.filter(F.col("kind").isNull() | (F.col("kind") == "token") | _valid(F.col("kind"), F.col("found")))
 
 
@@ -129,7 +137,7 @@ def discover(docs: DataFrame, found: DataFrame) -> DataFrame:
         "row",
         F.col("start").alias("from"),
         F.col("end").alias("to"),
-        F.lower(F.regexp_extract("gap", WORD, 1)).alias("word"),
+        F.lower("word").alias("word"),
         F.regexp_replace("found", r"^[(\[\"'<]+|[)\]\"'>.,;:!?]+$", "").alias("value"),
         F.length(F.regexp_extract("found", r"^[(\[\"'<]+", 0)).alias("lead"),
     )

@@ -241,6 +241,18 @@ def test_pii_learns_among_many_context_words(spark):
     assert (got[100], got[101], got[102]) == ("email:12:18", "email:9:15", "")
 
 
+def test_pii_context_is_the_whole_word_before(spark):
+    """A far word, a long one, and one that is identifier-like itself."""
+    far, long = " " * 200 + "\n\t", "l" * 200 + ":"
+    before = [f"far:{far}", f"x {long} ", "tel2: ", f"q{far}9z\r\n"]
+    rows = [(10 * k + i, f"{b}a{k}{i}@b.org") for k, b in enumerate(before) for i in range(4)]
+    rows += [(100 + k, f"{b}55-77") for k, b in enumerate(before)] + [(110, "55-77 a1"), (111, "x 55-77")]
+    got = dict(pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.joined("spans")).collect())
+    for k, b in enumerate(before):
+        assert got[100 + k] == f"email:{len(b)}:{len(b) + 5}", b[-20:]
+    assert got[110] == got[111] == ""
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.example.net/en/x", "http://example.net/eng", "https://net/", "https://net", "http://x.org/fr/?q", "http://xorg/fr/", "http://b.example.com/de/#f"]
     table = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
