@@ -296,8 +296,31 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
-    out = similar(docs, words, percent)
-    gone = out.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay.
+
+    Rows that share an id but not their text are compared and dropped each for itself; of these the
+    smallest key stays where the ids are equal.
+    """
     packed = docs.select(F.struct("*").alias("doc"))
-    return packed.join(gone, F.col("doc.doc_id") == F.col("gone"), "left_anti").select("doc.*")
+    shared = stage(shared_ids(docs), "shared")
+    if shared.isEmpty():
+        out = similar(docs, words, percent)
+        gone = out.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+        return packed.join(gone, F.col("doc.doc_id") == F.col("gone"), "left_anti").select("doc.*")
+    number = F.col("doc.doc_id").cast("long")
+    own = F.xxhash64("id", F.coalesce(F.col("doc.text"), F.lit("")))
+    key = F.when(F.col("id").isNotNull(), own).otherwise(number).alias("key")
+    keyed = stage(packed.join(shared, number == F.col("id"), "left").select("doc", key), "keyed")
+    out = similar(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")), words, percent)
+    ids = keyed.filter("key IS NOT NULL").select("key", number.alias("id")).distinct()
+    at = stage(out.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key"), "rows")
+    first = at.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    gone = at.join(first, "component_id").filter("key <> first.key").select(F.col("key").alias("gone"))
+    return keyed.join(gone, F.col("key") == F.col("gone"), "left_anti").select("doc.*")
+
+
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """``id`` of rows that have different texts."""
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    each = docs.select(F.col("doc_id").cast("long").alias("id"), digest.alias("digest")).filter("id IS NOT NULL")
+    return each.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("id")

@@ -152,6 +152,15 @@ def test_jaccard_join(docs, none, monkeypatch, words, percent):
     assert jaccard_join.similar(none).count() == 0
 
 
+def test_keep_first_compares_each_row_of_a_shared_id(spark):
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 80), ("b", 40)))
+    rows = [(0, long + " z"), (1, long), (1, short), (2, short + " z"), (3, "else"), (3, "else"), (None, short), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "h", 1, 2) for i, t in rows], SCHEMA)
+    left = jaccard_join.keep_first(docs, 3, 90)
+    assert left.columns == docs.columns
+    assert rows_of(left.select("doc_id", "text")) == sorted((r for r in rows if r not in [(1, long), (2, short + " z")]), key=repr)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(40).selectExpr("id + 1 AS a", "id AS b")
     assert {r.component for r in jaccard_join.components(links).collect()} == {0}
