@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from demandlens.llm import (
+    chat,
+    decontaminate,
+    embedding_dedup,
+    exact_dedup,
+    jaccard_join,
+    packing,
+    pii,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    token_alignment,
+    toxicity,
+    url_filter,
+)
 from demandlens.llm.common import read_table
+from demandlens.session import stage
 
 #: The url filter's rules (fixed values).
 URL_RULES = [
@@ -19,6 +34,8 @@ URL_RULES = [
 ]
 #: The packer's vocabulary and end mark (fixed values).
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
+#: The vocabularies that are aligned (fixed values).
+VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary() -> str:
@@ -98,8 +115,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    docs = read_table(spark, sf_dir, "documents")
+    aligned = token_alignment.align(docs, path(VOCABULARY_A), public_tokenizers.PATTERN, path(VOCABULARY_B))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = token_alignment.counted(stage(aligned.withColumn("groups", digest), "aligned"))
+    return counted.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_ngram_jaccard, op4_decontamination, op5_pii, op6_url_filter, op7_chat_format, op8_toxicity, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_ngram_jaccard, op4_decontamination, op5_pii, op6_url_filter, op7_chat_format, op8_toxicity, op9_suffix_dedup, op10_packing, op11_embedding_dedup, op12_spelling_variants, op13_token_alignment)
 }
 
 SQL = {
