@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from demandlens.functions import calendar as cal
 from demandlens.functions import numeric as num
+from demandlens.operators import drift, impute
 from demandlens.operators import select as sel
 from demandlens.operators.aggregate import correlation_pairs
 from demandlens.operators.quantiles import exact_quantiles
+from demandlens.session import stage
 
 # How each column is treated.
 CATEGORICAL = ("category", "region")
@@ -30,11 +32,15 @@ MAX_CATEGORIES = 1_000
 STATS_SCHEMA = "column string, min double, max double, q1 double, median double, q3 double, lower double, upper double"
 CATEGORY_SCHEMA = "column string, value string, position int"
 META_SCHEMA = "key string, position int, value string"
+EDGE_SCHEMA = "column string, position int, edge double"
 
 
 @dataclass
 class Preparation:
-    """Fitted state of the cleaning steps and of the feature list."""
+    """Fitted state of the cleaning steps and of the feature list.
+
+    ``imputation`` (if values are filled in) stays a table: it has a row for each group.
+    """
 
     categories: dict[str, list[str]] = field(default_factory=dict)
     outliers: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -42,6 +48,9 @@ class Preparation:
     log_columns: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
     feature_columns: list[str] = field(default_factory=list)
+    edges: dict[str, list[float]] = field(default_factory=dict)
+    imputed: list[str] = field(default_factory=list)
+    imputation: DataFrame | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
         columns = sorted({*self.outliers, *self.ranges})
@@ -50,12 +59,16 @@ class Preparation:
             o, r = self.outliers.get(c, {}), self.ranges.get(c, (None, None))
             stats.append((c, r[0], r[1], *[o.get(k) for k in ("q1", "median", "q3", "lower", "upper")]))
         cats = [(c, v, i) for c, vs in self.categories.items() for i, v in enumerate(vs)]
-        lists = {"log": self.log_columns, "dropped": self.dropped, "feature": self.feature_columns}
+        lists = {"log": self.log_columns, "dropped": self.dropped, "feature": self.feature_columns, "imputed": self.imputed}
+        edges = [(c, i, e) for c, es in self.edges.items() for i, e in enumerate(es)]
+        if self.imputation is not None:
+            self.imputation.write.mode("overwrite").parquet(f"{path}/fit_imputation")
         meta = [(k, i, v) for k, vs in lists.items() for i, v in enumerate(vs)]
         for name, rows, schema in (
             ("fit_stats", stats, STATS_SCHEMA),
             ("fit_categories", cats, CATEGORY_SCHEMA),
             ("fit_meta", meta, META_SCHEMA),
+            ("fit_edges", edges, EDGE_SCHEMA),
         ):
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -63,7 +76,7 @@ class Preparation:
     def load(spark: SparkSession, path: str) -> Preparation:
         """Fails with the name of the part when one is missing."""
         parts = {}
-        for name in ("fit_stats", "fit_categories", "fit_meta"):
+        for name in ("fit_stats", "fit_categories", "fit_meta", "fit_edges"):
             try:
                 # Fitted state: one row per column, category value or list entry.
                 parts[name] = spark.read.parquet(f"{path}/{name}").collect()
@@ -77,9 +90,13 @@ class Preparation:
                 out.outliers[row["column"]] = {k: row[k] for k in ("q1", "median", "q3", "lower", "upper")}
             if row["min"] is not None:
                 out.ranges[row["column"]] = (row["min"], row["max"])
-        lists = {"log": out.log_columns, "dropped": out.dropped, "feature": out.feature_columns}
+        for row in sorted(parts["fit_edges"], key=lambda r: (r["column"], r["position"])):
+            out.edges.setdefault(row["column"], []).append(row["edge"])
+        lists = {"log": out.log_columns, "dropped": out.dropped, "feature": out.feature_columns, "imputed": out.imputed}
         for row in sorted(parts["fit_meta"], key=lambda r: r["position"]):
             lists[row["key"]].append(row["value"])
+        if out.imputed:
+            out.imputation = spark.read.parquet(f"{path}/fit_imputation")
         return out
 
 
@@ -189,9 +206,13 @@ def fit_preparation(
     categorical: Sequence[str] = CATEGORICAL,
     dropped: Sequence[str] | None = sel.CORRELATED_COLUMNS,
     include_onehot: bool = False,
+    imputed: Sequence[str] = (),
+    bins: int = 0,
 ) -> Preparation:
     """Fit all cleaning steps on training rows.
 
+    ``imputed`` columns are filled in first, from the means of their groups. With ``bins`` the
+    edges that :mod:`drift` compares later populations by are fitted on the raw columns.
     ``dropped=None`` finds the correlated columns from the data. ``include_onehot``
     also runs the outlier step over the one-hot flags, which wipes out every category
     with a share under a quarter; off by default.
@@ -199,7 +220,12 @@ def fit_preparation(
     if dropped is None:
         found = correlated_columns(df, list(numeric)).select("column").collect()  # at most one row per column
         dropped = sorted(r[0] for r in found)
-    prep = Preparation(dropped=list(dropped))
+    prep = Preparation(dropped=list(dropped), imputed=list(imputed))
+    if bins:
+        prep.edges = drift.fit_edges(df, list(numeric), bins)
+    if imputed:
+        prep.imputation = stage(impute.fit_imputer(df, imputed), "imputation")
+        df = impute.apply_imputer(df, prep.imputation, imputed)
     left = [c for c in numeric if c not in dropped]
     base = rounded_base(df, dropped, left)
     prep.categories = fit_categories(base, categorical)
@@ -218,7 +244,9 @@ def fit_preparation(
 
 
 def apply_cleaning(df: DataFrame, prep: Preparation, numeric: Sequence[str], outliers: bool = True) -> DataFrame:
-    """Round, encode, treat outliers, scale: narrow projections, no shuffle."""
+    """Fill in, round, encode, treat outliers, scale: narrow projections, but for the imputation's small joins."""
+    if prep.imputation is not None:
+        df = impute.apply_imputer(df, prep.imputation, prep.imputed)
     left = [c for c in numeric if c not in prep.dropped and c in df.columns]
     out = rounded_base(df, prep.dropped, left).withColumns(one_hot(prep.categories))
     if outliers:
