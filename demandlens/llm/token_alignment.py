@@ -37,9 +37,9 @@ from demandlens.llm.common import pack, texts, unpack
 from demandlens.session import stage
 
 #: Bytes of text that are counted and looked up together.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Links that a worker keeps in its windows.
-KEPT = 4_000_000
+KEPT = 1_000_000
 
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, slice long, "
@@ -68,8 +68,8 @@ class ByteVocabulary:
         for token, i in ids.items():
             self.bytes[i] = token
 
-    def encode(self, documents: list[str]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(text) for text in documents]
+    def encode(self, documents: list[str]) -> list[np.ndarray]:
+        return [self.encoding.encode_to_numpy(text, disallowed_special=()) for text in documents]
 
 
 class PieceVocabulary:
@@ -84,48 +84,84 @@ class PieceVocabulary:
             for i in range(self.model.get_piece_size())
         ]
 
-    def encode(self, documents: list[str]) -> list[list[int]]:
-        return self.model.encode(documents, num_threads=1)
+    def encode(self, documents: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.uint32) for ids in self.model.encode(documents, num_threads=1)]
 
 
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
+class TokenBytes:
+    """Sizes and bytes of a vocabulary's tokens, and their ids as text."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.marked = np.array([t[:1] == b" " for t in tokens])
+        self.sizes, self.names = self.size.tolist(), list(map(str, range(len(tokens))))
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.size[ids])
+
+    def spell(self, ids: np.ndarray, full: np.ndarray) -> bool:
+        """Whether the tokens' bytes, joined, are ``full``; compared in parts."""
+        at = 0
+        for first in range(0, len(ids), 100_000):
+            some = ids[first : first + 100_000]
+            size = self.size[some]
+            ends = np.cumsum(size)
+            total = int(ends[-1])
+            found = self.pool[np.repeat(self.start[some] - ends + size, size) + np.arange(total)]
+            if not np.array_equal(found, full[at : at + total]):
+                return False
+            at += total
+        return at == len(full)
+
+
+def align_window(a: list[int], b: list[int], of_a: TokenBytes, of_b: TokenBytes) -> tuple[str, int, list[int]]:
     """The groups as text, how many they are, and a code for each pair of tokens that overlap."""
-    if len(a) == 1 or len(b) == 1:
-        joined = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-        return joined, 1, [x << 32 | y for x in a for y in b]
+    size_a, name_a, size_b, name_b = of_a.sizes, of_a.names, of_b.sizes, of_b.names
     groups, codes = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
+    i, j, x, y = 0, 0, a[0], b[0]
+    end_a, end_b, left, right = size_a[x], size_b[y], name_a[x], name_b[y]
     while True:
-        codes.append(a[i] << 32 | b[j])
+        codes.append(x << 32 | y)
         if end_a == end_b:
+            groups.append(f"{left}|{right}")
             i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
             if i == len(a):
                 return ";".join(groups), len(groups), codes
-            first_a, first_b = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
+            x, y = a[i], b[j]
+            left, right = name_a[x], name_b[y]
+            end_a += size_a[x]
+            end_b += size_b[y]
         elif end_a < end_b:
             i += 1
-            end_a += size_a[a[i]]
+            x = a[i]
+            left = f"{left},{name_a[x]}"
+            end_a += size_a[x]
         else:
             j += 1
-            end_b += size_b[b[j]]
+            y = b[j]
+            right = f"{right},{name_b[y]}"
+            end_b += size_b[y]
+
+
+#: Stands between the ids of A and of B in a window's key.
+MARK = 0xFFFFFFFF
 
 
 class Windows(dict):
     """Numbers of windows by their ids, and each one's alignment, found when it is first asked for."""
 
-    def __init__(self, size_a: list[int], size_b: list[int]):
+    def __init__(self, of_a: TokenBytes, of_b: TokenBytes):
         super().__init__()
-        self.size_a, self.size_b = size_a, size_b
+        self.of_a, self.of_b = of_a, of_b
         self.groups: list[str] = []
         self.codes, self.n_groups, self.n_links = array("q"), array("q"), array("q")
 
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(x, "<u4").tolist() for x in key)
-        groups, n_groups, codes = align_window(a, b, self.size_a, self.size_b)
+    def __missing__(self, key: bytes) -> int:
+        ids = memoryview(key).cast("I").tolist()
+        cut = ids.index(MARK)
+        groups, n_groups, codes = align_window(ids[:cut], ids[cut + 1 :], self.of_a, self.of_b)
         number = self[key] = len(self.groups)
         self.groups.append(groups)
         self.n_groups.append(n_groups)
@@ -139,58 +175,82 @@ class Aligner:
 
     def __init__(self, a: ByteVocabulary, b: PieceVocabulary, kept: int = KEPT):
         self.a, self.b, self.kept = a, b, kept
-        self.size_a, self.size_b = (np.array([len(t) for t in v.bytes], np.int64) for v in (a, b))
-        self.mark_a, self.mark_b = (np.array([t[:1] == b" " for t in v.bytes]) for v in (a, b))
+        self.of_a, self.of_b = TokenBytes(a.bytes), TokenBytes(b.bytes)
         self.forget()
 
     def forget(self) -> None:
-        self.known = Windows(self.size_a.tolist(), self.size_b.tolist())
-
-    def windows(self, text: str, a: list[int], b: list[int]) -> list[int] | None:
-        """The numbers of a text's windows in order; None where the tokens' bytes differ from the text."""
-        full = b" " + text.encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != full or b"".join(map(self.b.bytes.__getitem__, b)) != full:
-            return None
-        ids_a, ids_b = np.array(a, "<u4"), np.array(b, "<u4")
-        start_a, start_b = np.cumsum(self.size_a[ids_a]) - self.size_a[ids_a], np.cumsum(self.size_b[ids_b]) - self.size_b[ids_b]
-        at_a, at_b = np.flatnonzero(self.mark_a[ids_a]), np.flatnonzero(self.mark_b[ids_b])
+        self.known = Windows(self.of_a, self.of_b)
+
+    def windows(self, text: bytes, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """The numbers of a text's windows in order; none where the tokens' bytes differ from space+text."""
+        full = np.frombuffer(b" " + text, np.uint8)
+        if not self.of_a.spell(a, full) or not self.of_b.spell(b, full):
+            return []
+        start_a, start_b = self.of_a.ends(a) - self.of_a.size[a], self.of_b.ends(b) - self.of_b.size[b]
+        at_a, at_b = np.flatnonzero(self.of_a.marked[a]), np.flatnonzero(self.of_b.marked[b])
         begun = np.zeros((2, len(full)), bool)
         begun[0, start_a[at_a]] = begun[1, start_b[at_b]] = True
         cut_a, cut_b = at_a[begun[1, start_a[at_a]]], at_b[begun[0, start_b[at_b]]]
-        # The beginning and the end are shared in any case.
-        first = [] if len(cut_a) and cut_a[0] == 0 else [0]
-        cut_a = (np.concatenate([first, cut_a, [len(a)]]).astype(np.int64) * 4).tolist()
-        cut_b = (np.concatenate([first, cut_b, [len(b)]]).astype(np.int64) * 4).tolist()
-        raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
-        parts_a = [raw_a[i:k] for i, k in zip(cut_a, cut_a[1:])]
-        return list(map(self.known.__getitem__, zip(parts_a, [raw_b[j:m] for j, m in zip(cut_b, cut_b[1:])])))
-
-    def slice(self, number: int, keys: list, documents: list[str]) -> Iterator[tuple]:
-        """A row for each document, with the windows it uses, then the slice's own row with its pairs."""
+        # Both begin at 0 in any case.
+        if not len(cut_a) or cut_a[0]:
+            cut_a, cut_b = np.append(0, cut_a), np.append(0, cut_b)
+        # A window's key: its ids of A, the mark, its ids of B; all keys stand behind each other.
+        n = len(cut_a)
+        size_a, size_b = np.diff(np.append(cut_a, len(a))), np.diff(np.append(cut_b, len(b)))
+        keys = np.empty(len(a) + len(b) + n, "<u4")
+        keys[np.arange(len(a)) + np.repeat(cut_b + np.arange(n), size_a)] = a
+        keys[cut_a + cut_b + np.arange(n) + size_a] = MARK
+        keys[np.arange(len(b)) + np.repeat(cut_a + size_a + np.arange(n) + 1, size_b)] = b
+        raw, ends = keys.tobytes(), (np.cumsum(size_a + size_b + 1) * 4).tolist()
+        return [self.known[raw[i:k]] for i, k in zip([0, *ends], ends)]
+
+    def slice(self, number: int, keys: list, documents: list[bytes], together: int = 300_000) -> Iterator[tuple]:
+        """A row for each document, with the windows it uses, then the slice's own row with its pairs.
+
+        Windows are numbered anew in each slice; ``together`` bytes of text are encoded at a time.
+        """
         if len(self.known.codes) > self.kept:
             self.forget()
-        encoded = zip(self.a.encode([" " + t for t in documents]), self.b.encode(documents))
-        about, used, times = [], [], []
-        for key, text, (a, b) in zip(keys, documents, encoded):
-            found = self.windows(text, a, b) if text else None
-            numbers = np.array(found or [], np.int64)
-            some, often = np.unique(numbers, return_counts=True)
-            used.append(some)
-            times.append(often)
-            groups = ";".join(map(self.known.groups.__getitem__, found or []))
-            about.append((key, len(a) if found else 0, len(b) if found else 0, numbers, groups))
-        n_groups, n_links = np.array(self.known.n_groups, np.int64), np.array(self.known.n_links, np.int64)
-        for (key, n_a, n_b, numbers, groups), some, often in zip(about, used, times):
-            yield key, n_a, n_b, int(n_groups[numbers].sum()), int(n_links[numbers].sum()), groups, number, some, often
-        none = np.zeros(0, np.int64)
-        all_used, place = np.unique(np.concatenate([*used, none]), return_inverse=True)
-        often = np.bincount(place, np.concatenate([*times, none]), len(all_used)).astype(np.int64)
-        sizes = n_links[all_used]
+        known, place, order, often = self.known, np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+        size = 0
+        for at in _parts(documents, together):
+            texts_of = [t.decode() for t in documents[at]]
+            encoded = zip(self.a.encode([" " + t for t in texts_of]), self.b.encode(texts_of))
+            for key, text, (a, b) in zip(keys[at], documents[at], encoded):
+                found = self.windows(text, a, b) if text else []
+                some, times = np.unique(np.array(found, np.int64), return_counts=True)
+                if len(known.groups) > len(place):
+                    place = np.append(place, np.full(len(known.groups) * 3 // 2 - len(place), -1))
+                    often = np.append(often, np.zeros(len(place) - len(often), np.int64))
+                new = some[place[some] < 0]
+                place[new] = np.arange(size, size + len(new))
+                size += len(new)
+                order.append(new)
+                often[some] += times
+                n_groups = sum(map(known.n_groups.__getitem__, found))
+                n_links = sum(map(known.n_links.__getitem__, found))
+                groups = ";".join(map(known.groups.__getitem__, found))
+                yield key, len(a) if found else 0, len(b) if found else 0, n_groups, n_links, groups, number, place[some], times
+        used = np.concatenate([*order, np.zeros(0, np.int64)])
+        n_links = np.array(known.n_links, np.int64)
+        sizes = n_links[used]
         ends = np.cumsum(sizes)
-        at = np.repeat((np.cumsum(n_links) - n_links)[all_used] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        pairs, places = np.unique(np.array(self.known.codes, np.int64)[at], return_inverse=True)
-        links = np.bincount(places, np.repeat(often, sizes), len(pairs)).astype(np.int64)
-        yield number, all_used, sizes, places.astype(np.uint32), pairs, links
+        at = np.repeat((np.cumsum(n_links) - n_links)[used] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        pairs, places = np.unique(np.array(known.codes, np.int64)[at], return_inverse=True)
+        links = np.bincount(places, np.repeat(often[used], sizes), len(pairs)).astype(np.int64)
+        yield number, sizes, places.astype(np.uint32), pairs, links
+
+
+def _parts(documents: list[bytes], limit: int) -> Iterator[slice]:
+    """Ranges of documents of ``limit`` bytes each, or of one document."""
+    begin = size = 0
+    for at, text in enumerate(documents):
+        size += len(text)
+        if size >= limit:
+            yield slice(begin, at + 1)
+            begin, size = at + 1, 0
+    if begin < len(documents):
+        yield slice(begin, len(documents))
 
 
 def bounded(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list]]:
@@ -224,19 +284,25 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, slice_bytes:
     i64, raw, longs = pa.int64(), pa.binary(), pa.list_(pa.int64())
     kinds = [i64, i64, i64, i64, i64, pa.string(), i64, raw, raw, raw, raw, longs, longs]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, pattern, path_b)
         first = TaskContext.get().partitionId() << 24
         for n, (keys, held) in enumerate(bounded(batches, slice_bytes)):
-            rows = list(aligner.slice(first + n, keys, [t.decode() for t in held]))
-            number, all_used, sizes, places, pairs, links = rows.pop()
-            out = []
-            for *about, some, often in rows:
-                used = np.searchsorted(all_used, some).astype(np.uint32)
-                out.append((*about, pack(used), pack(often.astype(np.uint32)), None, None, None, None))
-            own = (None, None, None, None, None, None, number, None, None, pack(sizes.astype(np.uint32)), pack(places), pairs, links)
-            out.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+            rows, size = [], 0
+            for row in aligner.slice(first + n, keys, held):
+                if len(row) == 9:
+                    rows.append((*row[:7], pack(row[7].astype(np.uint32)), pack(row[8].astype(np.uint32)), None, None, None, None))
+                else:
+                    number, sizes, places, pairs, links = row
+                    rows.append((*[None] * 6, number, None, None, pack(sizes.astype(np.uint32)), pack(places), pairs, links))
+                size += len(row[5]) if len(row) == 9 else 0
+                if size > 1_000_000:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
 
     return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ALIGNED)
 
