@@ -9,11 +9,13 @@ that such a string covers goes. The passes:
    chunks send them to buckets packed, each once.
 2. Runs of strings with one anchor go to the anchor's bucket as the bytes they span (``context``). Equal
    contexts of a chunk are sent once, with the places they stand for, so copies cost one row a chunk.
-3. A bucket sorts its strings by offset and by digits of 50 bytes each; what is alone in its group after
-   a pass leaves. Strings are compared by 64-bit hashes of the digits, all within one anchor's group.
+3. A bucket sorts its strings by offset and by hashes of digits of 50 bytes each; what is alone in its
+   group after a pass leaves. The bytes of the strings of a last group are compared then, whole runs at a
+   time, so strings whose hashes agree by chance or by design are told apart.
 4. An anchor with more than ``HOT_RUNS`` runs (a short passage that a third of all documents share) would
-   make its bucket large. Its strings take all digits at once: a chunk sends each distinct one's 64-bit
-   hash to the bucket of that hash's range, so such a group is spread over all buckets.
+   make its bucket large. Its strings take all digits at once: a chunk sends each distinct one's 64-bit hash
+   and 128-bit BLAKE2 digest to the bucket of the hash's range, so such a group is spread over all buckets.
+   Equal digests stand for equal bytes there.
 
 The places of what is left go back to the documents. Chunks and buckets are bounded by the number of
 bytes, the texts are shuffled once, and all passes read that shuffle.
@@ -25,8 +27,9 @@ other. Empty tables give empty results. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,9 @@ _ANCHORS = "bucket int, chunk int, hashes binary, runs binary"
 _KINDS = "chunk int, bucket int, kinds binary"
 _CONTEXTS = (
     "bucket int, chunk int, anchor long, offset int, context binary, docs binary, places binary, "
-    "strings binary, often binary"
+    "strings binary, often binary, digests binary"
 )
-_RUNS = "chunk int, docs binary, starts binary, ends binary, strings binary"
+_RUNS = "chunk int, docs binary, starts binary, ends binary, strings binary, digests binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -126,6 +129,7 @@ def _repeated(
         stays = order[np.repeat(each > 1, np.diff(np.append(starts, len(order))))]
         stays.sort()
         active, group = active[stays], group[stays]
+    active = active[_confirmed(values, place[active], group, weight[owner[active]], length)]
     if not len(active):
         return active, active, active
     cut = np.flatnonzero((np.diff(active) != 1) | (np.diff(owner[active]) != 0))
@@ -133,6 +137,32 @@ def _repeated(
     return owner[first], step[first], step[last]
 
 
+def _confirmed(values: np.ndarray, place: np.ndarray, group: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings at ``place`` occur twice, by their bytes; ``group`` is equal for equal strings."""
+    if not len(place):
+        return np.zeros(0, bool)
+    _, first, number = np.unique(group, return_index=True, return_inverse=True)
+    to = place[first][number]
+    # Neighbours whose group's first strings are neighbours too are compared as one run of bytes.
+    starts = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (np.diff(to) != 1)))
+    ends = np.append(starts[1:], len(place))
+    differ = np.zeros(len(first), bool)
+    for s, e, a, b in zip(starts.tolist(), ends.tolist(), place[starts].tolist(), to[starts].tolist()):
+        if a != b:
+            unequal = values[a : a + e - s + length - 1] != values[b : b + e - s + length - 1]
+            if unequal.any():
+                near = np.cumsum(np.append(0, unequal))
+                differ[number[s:e][near[length:] > near[: e - s]]] = True
+    out = np.ones(len(place), bool)
+    mixed = np.flatnonzero(differ[number])
+    strings = [values[i : i + length].tobytes() for i in place[mixed].tolist()]
+    often: Counter[bytes] = Counter()
+    for text, n in zip(strings, weight[mixed].tolist()):
+        often[text] += n
+    out[mixed] = [often[text] > 1 for text in strings]
+    return out
+
+
 #: Kinds of anchors: one run only, several, too many for a bucket.
 ALONE, SEVERAL, HOT = 0, 1, 2
 
@@ -150,26 +180,37 @@ def _kinds(table: pa.Table, hot_runs: int) -> pa.Table:
     return table_of({"chunk": INT, "bucket": INT, "kinds": BIN}, rows)
 
 
-def _repeated_hashes(table: pa.Table) -> list[tuple[int, bytes]]:
-    """Per chunk, which of the strings it sent occur twice or more over all chunks."""
+def _digests(text: bytes, places: np.ndarray, length: int) -> np.ndarray:
+    """The digests of the strings at ``places``, 16 bytes each."""
+    return np.frombuffer(b"".join(blake2b(text[i : i + length], digest_size=16).digest() for i in places.tolist()), "V16")
+
+
+def _repeated_strings(table: pa.Table) -> list[tuple[int, bytes, bytes]]:
+    """Per chunk, which of the strings it sent occur twice or more over all chunks: hashes and digests."""
     if not table.num_rows:
         return []
-    sent = [unpack(x.as_py()) for x in table.column("strings")]
+    sent = [np.frombuffer(x.as_py(), "V16") for x in table.column("digests")]
+    hashes = [unpack(x.as_py()) for x in table.column("strings")]
     often = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("often")])
     _, group = np.unique(np.concatenate(sent), return_inverse=True)
     twice = (np.bincount(group, often) > 1)[group]
     ends = np.cumsum([len(x) for x in sent])
-    found = [(c.as_py(), x[twice[e - len(x) : e]]) for c, x, e in zip(table.column("chunk"), sent, ends)]
-    return [(c, pack(x)) for c, x in found if len(x)]
+    out = []
+    for chunk, h, d, end in zip(table.column("chunk").to_pylist(), hashes, sent, ends):
+        kept = twice[end - len(d) : end]
+        if kept.any():
+            out.append((chunk, pack(h[kept]), d[kept].tobytes()))
+    return out
 
 
-def _places(text: bytes, strings: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Where one of the sorted ``strings`` (hashes) starts, by parts of the text."""
+def _places(text: bytes, strings: np.ndarray, digests: set[bytes], length: int) -> Iterator[np.ndarray]:
+    """Where one of the strings of sorted hashes and ``digests`` starts, by parts of the text."""
     data = np.frombuffer(text, np.uint8)
     for begin in range(0, len(data) - length + 1 if len(strings) else 0, PART):
         here = windows(data[begin : begin + PART + length - 1], length)
         at = np.searchsorted(strings, here)
-        yield np.flatnonzero(strings[np.minimum(at, len(strings) - 1)] == here) + begin
+        found = np.flatnonzero(strings[np.minimum(at, len(strings) - 1)] == here) + begin
+        yield found[[x.tobytes() in digests for x in _digests(text, found, length)]] if len(found) else found
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -188,7 +229,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS)
         return table_of({"bucket": INT, "chunk": INT, "hashes": BIN, "runs": BIN}, rows)
 
     def contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = {"bucket": INT, "chunk": INT, "anchor": LONG, "offset": INT, "context": BIN, "docs": BIN, "places": BIN, "strings": BIN, "often": BIN}
+        schema = {"bucket": INT, "chunk": INT, "anchor": LONG, "offset": INT, "context": BIN, "docs": BIN, "places": BIN, "strings": BIN, "often": BIN, "digests": BIN}
         if not table.num_rows or not answers.num_rows:
             return table_of(schema, [])
         number = table.column("chunk")[0].as_py()
@@ -205,14 +246,17 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS)
         kind, end_of = np.concatenate(kinds)[group], 0
         column = table.column("text")
         seen: dict[tuple[int, int, bytes], tuple[list, list]] = defaultdict(lambda: ([], []))
-        strings = [np.zeros(0, np.uint64)]
+        strings, digests = [np.zeros(0, np.uint64)], [np.zeros(0, "V16")]
         for i, key, hashes, offset, first, end in held:
             here = kind[end_of : end_of + len(hashes)]
             some, hot = np.flatnonzero(here == SEVERAL), here == HOT
             end_of += len(hashes)
             if hot.any():
-                part = np.frombuffer(column[i].as_py(), np.uint8)[first[0] : end[-1] + length - 1]
-                strings.append(windows(part, length)[np.repeat(hot, end - first)])
+                text = column[i].as_py()
+                part = np.frombuffer(text, np.uint8)[first[0] : end[-1] + length - 1]
+                places_of = np.flatnonzero(np.repeat(hot, end - first))
+                strings.append(windows(part, length)[places_of])
+                digests.append(_digests(text, places_of + first[0], length))
             if len(some):
                 text = column[i].as_py()
                 doc = _doc_key(key, text)
@@ -223,13 +267,16 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS)
         bucket = ranges(np.array([k[0] for k in seen], np.uint64), buckets).tolist()
         signed = np.array([k[0] for k in seen], np.uint64).view(np.int64)
         rows = [
-            (b, number, int(a), k[1], k[2], np.array(d, np.uint64).tobytes(), np.array(p, np.int64).tobytes(), None, None)
+            (b, number, int(a), k[1], k[2], np.array(d, np.uint64).tobytes(), np.array(p, np.int64).tobytes(), None, None, None)
             for b, a, (k, (d, p)) in zip(bucket, signed, seen.items())
         ]
-        distinct, often = np.unique(np.concatenate(strings), return_counts=True)
-        often = np.minimum(often, 2).astype(np.uint8)
-        for b, s in cuts(ranges(distinct, buckets), buckets):
-            rows.append((b, number, None, None, None, None, None, pack(distinct[s]), often[s].tobytes()))
+        # By digest; equal strings have equal hashes, so each distinct one has its hash's place.
+        distinct, where, often = np.unique(np.concatenate(digests), return_index=True, return_counts=True)
+        hashes = np.concatenate(strings)[where]
+        order = np.argsort(hashes, kind="stable")
+        hashes, distinct, often = hashes[order], distinct[order], np.minimum(often[order], 2).astype(np.uint8)
+        for b, s in cuts(ranges(hashes, buckets), buckets):
+            rows.append((b, number, None, None, None, None, None, pack(hashes[s]), often[s].tobytes(), distinct[s].tobytes()))
         return table_of(schema, rows)
 
     def sort(table: pa.Table) -> pa.Table:
@@ -251,14 +298,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS)
             for c, a, z in zip(some[found[0]].tolist(), found[1].tolist(), found[2].tolist()):
                 start = np.frombuffer(places[c].as_py(), np.int64)
                 out[int(numbers[c])].append((np.frombuffer(keys[c].as_py(), np.uint64), start + a, start + z + length))
-        rows = [(c, *(pack(np.concatenate([r[i] for r in runs])) for i in range(3)), None) for c, runs in out.items()]
-        rows += [(c, None, None, None, x) for c, x in _repeated_hashes(hot)]
-        return table_of({"chunk": INT, "docs": BIN, "starts": BIN, "ends": BIN, "strings": BIN}, rows)
+        rows = [(c, *(pack(np.concatenate([r[i] for r in runs])) for i in range(3)), None, None) for c, runs in out.items()]
+        rows += [(c, None, None, None, h, d) for c, h, d in _repeated_strings(hot)]
+        return table_of({"chunk": INT, "docs": BIN, "starts": BIN, "ends": BIN, "strings": BIN, "digests": BIN}, rows)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         runs: dict[int, np.ndarray] = {}
-        strings = np.zeros(0, np.uint64)
+        strings, digests = np.zeros(0, np.uint64), set()
         if answers.num_rows:
+            digests = {x.tobytes() for d in answers.column("digests").drop_null() for x in np.frombuffer(d.as_py(), "V16")}
             strings = np.concatenate([strings, *(unpack(x.as_py()) for x in answers.column("strings").drop_null())])
             strings.sort()
             answers = answers.filter(pc.is_valid(answers.column("docs")))
@@ -277,7 +325,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS)
             if found is not None:
                 np.add.at(change, found[0], 1)
                 np.add.at(change, found[1], -1)
-            for at in _places(text, strings, length):
+            for at in _places(text, strings, digests, length):
                 change[at] += 1
                 change[at + length] -= 1
             if change.any():

@@ -343,6 +343,33 @@ def test_suffix_dedup(docs, none, monkeypatch):
         assert suffix_dedup.cut_repeats(none, hot_runs=hot_runs).count() == 0
 
 
+def test_suffix_dedup_compares_bytes(spark):
+    """Two strings whose polynomial hashes modulo 2**64 agree at every place are not one string."""
+    twins = ("jhhikihlijhhhhiihhkhhhhkhh", "hhlhhhihhhkilhhhikhhjiihhi")
+    rows = []
+    for seed in range(6):
+        rnd = random.Random(seed)
+        before = "".join(rnd.choice("abcdefghij ") for _ in range(62))
+        after = "".join(rnd.choice("abcdefghij ") for _ in range(112))
+        rows += [(2 * seed + i, before + twin + after) for i, twin in enumerate(twins)]
+    table = spark.createDataFrame([*rows, (20, rows[3][1]), (21, "x" + rows[8][1])], "doc_id long, text string")
+    for hot_runs in (10_000, 0):
+        found = {r.doc_id: r.n_removed for r in suffix_dedup.cut_repeats(table, hot_runs=hot_runs).collect()}
+        assert found == {i: 200 if i in (3, 20, 8, 21) else 0 for i in found}
+
+
+def test_suffix_dedup_of_few_letters(spark):
+    """Many strings are almost equal here, so groups are large and runs overlap."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab") * rnd.randint(1, 90) for _ in range(12)) for _ in range(40)] + ["a" * 700, "a" * 201, "ab" * 300]
+    seen = collections.Counter(t[j : j + 200] for t in texts for j in range(len(t) - 199))
+    want = [len({x for j in range(len(t) - 199) if seen[t[j : j + 200]] > 1 for x in range(j, j + 200)}) for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot_runs in (10_000, 3):
+        found = {r.doc_id: r.n_removed for r in suffix_dedup.cut_repeats(table, hot_runs=hot_runs).collect()}
+        assert found == dict(enumerate(want))
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
