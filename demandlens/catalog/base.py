@@ -13,7 +13,7 @@ from demandlens.functions.numeric import round_half_away
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("descriptive", "series", "preparation", "modelling", "files", "upkeep")
+MODULES = ("descriptive", "series", "preparation", "modelling", "files", "upkeep", "stores")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

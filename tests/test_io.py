@@ -7,7 +7,7 @@ import pytest
 from demandlens.operators import buckets
 from demandlens.operators import features as fp
 from demandlens.plans import monitoring, scoring, training
-from demandlens.sources import readers, schemas, sinks
+from demandlens.sources import readers, runlog, schemas, sinks
 from demandlens.sources.star import AD_COLUMNS, ORDER_KEYS, sales, table
 from demandlens.streaming import jobs
 from pyspark.sql import functions as F
@@ -262,3 +262,69 @@ def test_saved_models_round_trip(spark, tmp_path, small_model):
     assert sorted(a) == sorted(b)
     with pytest.raises(FileNotFoundError, match="random_forest"):
         training.load_models(spark, str(tmp_path / "none"), ["random_forest"])
+
+
+# --- log compaction and counts ---------------------------------------------------------
+
+
+def _log(spark, path, runs):
+    metrics = spark.createDataFrame([("mae", 1.0), ("r2", 0.5)], "metric string, value double")
+    for run, day in runs:
+        sinks.append_report(metrics, path, run, day)
+
+
+def _seen(spark, path):
+    return sorted((r["run_id"], r["n"]) for r in runlog.read_log(spark, path).groupBy("run_id").agg(F.count("*").alias("n")).collect())
+
+
+def test_each_run_is_seen_once_through_compactions(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    with pytest.raises(FileNotFoundError):
+        runlog.read_log(spark, path)
+    _log(spark, path, [("007", D(2024, 1, 1)), ("b", D(2024, 1, 2)), ("c", D(2024, 1, 3))])
+    want = [("007", 2), ("b", 2), ("c", 2)]
+    assert _seen(spark, path) == want
+    assert runlog.compact(spark, path, D(2024, 1, 3)) == 1
+    # The old folders are still there, for readers that began before.
+    assert len(list((tmp_path / "reports").rglob("run_id=*"))) == 3 and _seen(spark, path) == want
+    _log(spark, path, [("d", D(2024, 1, 4))])
+    want.append(("d", 2))
+    assert _seen(spark, path) == want
+    assert runlog.compact(spark, path) == 2
+    assert sorted(p.name for p in (tmp_path / "reports").rglob("run_id=*")) == ["run_id=c", "run_id=d"]
+    assert _seen(spark, path) == want and runlog.versions(spark, path) == [1, 2]
+    assert runlog.compact(spark, path) == 3
+    assert not list((tmp_path / "reports").rglob("run_id=*")) and runlog.versions(spark, path) == [2, 3]
+    assert _seen(spark, path) == want
+
+
+def test_an_unfinished_compaction_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    _log(spark, path, [("a", D(2024, 1, 1)), ("b", D(2024, 1, 2))])
+    runlog.compact(spark, path)
+    left = tmp_path / "reports_compacted" / "version=2"
+    left.mkdir()
+    (left / "part-0.parquet").write_text("half a file")
+    assert _seen(spark, path) == [("a", 2), ("b", 2)]
+    assert runlog.compact(spark, path) == 2
+    assert _seen(spark, path) == [("a", 2), ("b", 2)]
+
+
+def test_stream_counts_errors_while_it_writes(spark, sf, tmp_path, small_model):
+    data, models = small_model
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    raw = raw_requests(spark, sf)
+    raw.repartition(3).write.parquet(src)
+    numeric = schemas.NUMERIC_REQUEST_FIELDS
+    stream = jobs.read_stream(spark, src, schemas.RAW_REQUEST, maxFilesPerTrigger="1")
+    jobs.score_stream_once(stream, models["random_forest"], data.preparation, numeric, out, str(tmp_path / "c")).awaitTermination()
+    records, checked = spark.read.parquet(f"{out}/records"), readers.validate_requests(raw)
+    rejected = {r["batch_id"]: r["count"] for r in records.filter("outcome = 'rejected'").groupBy("batch_id").count().collect()}
+    counts = {r["batch_id"]: (r["num_rows"], r["num_errors"]) for r in spark.read.parquet(f"{out}/counts").collect()}
+    assert {b: n for b, (_, n) in counts.items()} == rejected and len(counts) == 3
+    assert sum(n for n, _ in counts.values()) == raw.count()
+    assert sum(rejected.values()) == readers.rejected_rows(checked).count() > 0
+    batch = scoring.predict(readers.valid_rows(checked), models["random_forest"], data.preparation, numeric)
+    total = lambda df: df.agg(F.count("predicted_revenue"), F.round(F.sum("predicted_revenue"), 3)).first()[:]
+    assert total(records) == total(batch)
+    assert records.filter("outcome = 'rejected' AND (predicted_revenue IS NOT NULL OR reject_reason IS NULL)").count() == 0
