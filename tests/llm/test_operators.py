@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -199,6 +200,63 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontaminate.matches(table, benchmark.limit(0)).count() == 0
 
 
+def least_distance(item, text):
+    """Plain edit distance between ``item`` and the nearest passage of ``text``, a column at a time."""
+    column = list(range(len(item) + 1))
+    best = column[-1]
+    for c in text:
+        before, column = column, [0]
+        for i, x in enumerate(item):
+            column.append(min(before[i] + (x != c), before[i + 1] + 1, column[i] + 1))
+        best = min(best, column[-1])
+    return best
+
+
+@pytest.mark.parametrize("slice_bytes", [4_000_000, 150])
+def test_decontamination_equals_plain_distances(spark, monkeypatch, slice_bytes):
+    """Every item against every text, in one slice and in many; few letters, so that pieces hit everywhere."""
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("ab ") for _ in range(n))
+    items = [(i, word(rnd.randint(1, 60))) for i in range(25)] + [(90, " "), (91, None), (92, "ab" * 400)]
+    texts = []
+    for i in range(40):
+        text = list(word(rnd.randint(0, 200)))
+        if i % 2:
+            passage = list(rnd.choice(items[:25])[1])
+            for _ in range(rnd.randint(0, 4)):
+                passage[rnd.randrange(len(passage))] = rnd.choice(["", "a", "b", "aB", "\n"])
+            at = rnd.randint(0, len(text))
+            text[at:at] = passage
+        texts.append("".join(text))
+    texts += [None, "", "ab" * 20_000, ("ab" * 300 + "b") * 4, "a" * 30_000]
+    names = "doc_id long, text string, item_id int, distance string, slice int, gone string"
+    docs = spark.createDataFrame([(i, t, 1, "x", 2, "g") for i, t in enumerate(texts)], names)
+    benchmark = spark.createDataFrame([(*i, "d") for i in items], "item_id long, text string, doc_id string")
+    plain = lambda t: decontaminate.normalise((t or "").encode())
+    want = set()
+    for i, text in enumerate(map(plain, texts)):
+        for key, item in ((k, plain(t)) for k, t in items):
+            # What is long and has the item is at distance 0; plain columns are for the rest.
+            distance = 0 if item in text else least_distance(item, text) if len(text) < 2_000 else len(item)
+            if item and distance <= int(len(item) * decontaminate.ERROR_RATE):
+                want.add((i, key, distance))
+    got = {tuple(r) for r in decontaminate.matches(docs, benchmark).select("doc_id", "item_id", "distance").collect() if r.doc_id < 42 or r.distance == 0}
+    assert got == want
+    kept = decontaminate.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} - {42, 43, 44} == {i for i in range(42)} - {r[0] for r in want}
+
+
+def test_one_id_for_many_texts_is_spread(spark):
+    """Chunks by id and text hold different texts of one id apart."""
+    from demandlens.llm.common import chunked
+
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    for key in ("doc_id = 7", "doc_id IS NULL"):
+        assert chunked(docs.filter(key), 50, by_text=True).select("chunk").distinct().count() > 40
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -262,6 +320,110 @@ def test_pii_context_is_the_whole_word_before(spark):
     assert got[110] == got[111] == ""
 
 
+def plain_pii(rows):
+    """Base spans, secrets, and what patterns of one and two words add, scored over lists and dictionaries."""
+    runs, totals = [], collections.Counter()
+    for n, (_, text) in enumerate(rows):
+        words = [(m[0], m.start()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        base = sorted((s, e, k) for k, s, e in base_spans(text or ""))
+        low = [w.lower() for w, _ in words]
+        totals.update(low)
+        totals.update(f"{a} {b}" for a, b in zip(low, low[1:]))
+        for at, (word, start) in enumerate(words):
+            if not re.search("[0-9@]", word):
+                continue
+            end = start + len(word)
+            touched = [b for b in base if b[0] < end and start < b[1]]
+            hexes = re.search(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", word)
+            secret = hexes and re.search("[0-9]", hexes[0]) and re.search("[A-Fa-f]", hexes[0])
+            lead = re.match(r"[^\w+]*_*[^\w+]*", word).end() if not secret else hexes.start()
+            value = hexes[0] if secret else re.sub(r"[^\w=]+$", "", word[lead:]).rstrip("_")
+            kind = "secret" if secret else None
+            if touched:
+                if touched[0][0] < start:
+                    continue
+                value, kind = (text or "")[touched[0][0] : touched[0][1]], touched[0][2]
+            if value:
+                patterns = ([low[at - 1]] if at else []) + ([f"{low[at - 2]} {low[at - 1]}"] if at > 1 else [])
+                runs.append((n, start + lead, value, kind, patterns, bool(touched)))
+    pairs = collections.Counter((p, r[2]) for r in runs for p in r[4])
+    kind_of = {}
+    for r in runs:
+        if r[3]:
+            kind_of[r[2]] = min(r[3], kind_of.get(r[2], r[3]))
+    linked_kind = {}
+    for r in runs:
+        for p in r[4]:
+            if r[3]:
+                linked_kind[r[2]] = min(r[3], linked_kind.get(r[2], r[3]))
+    support = collections.Counter(p for p, _ in pairs)
+    pairs = {x: n for x, n in pairs.items() if support[x[0]] >= pii.SUPPORT}
+    kinds = {v: linked_kind.get(v) for _, v in pairs}
+    scores = {v: 1.0 if k else 0.0 for v, k in kinds.items()}
+    while True:
+        found = {}
+        for p in {p for p, _ in pairs}:
+            by = collections.defaultdict(lambda: [0.0, 0])
+            for (q, v), n in pairs.items():
+                if q == p and kinds[v]:
+                    by[kinds[v]][0] += n * scores[v]
+                    by[kinds[v]][1] += scores[v] >= pii.LEAST
+            if by:
+                total, many, kind = max((x[0], x[1], k) for k, x in by.items())
+                found[p] = (total / totals[p], kind, many)
+        new, named = dict(scores), dict(kinds)
+        for v in scores:
+            reach = [found[p] for p, w in pairs if w == v and p in found]
+            learned = 1 - math.prod(1 - min(c, 0.999999) for c, _, _ in reach) if reach else 0.0
+            if scores[v] < 1.0:
+                new[v] = learned
+                if learned >= pii.LEAST:
+                    named[v] = kinds[v] or max((c, k) for c, k, _ in reach)[1]
+        still = max([abs(new[v] - scores[v]) for v in scores] or [0.0]) <= pii.STILL
+        scores, kinds = new, named
+        if still:
+            break
+    good = {p: (c, k) for p, (c, k, many) in found.items() if c >= pii.LEAST and many >= pii.SUPPORT} if pairs else {}
+    out = []
+    for n, (key, text) in enumerate(rows):
+        spans = [(pii.ALL_KINDS.index(k), s, e, k) for k, s, e in base_spans(text or "")]
+        base = list(spans)
+        for m, start, value, kind, patterns, touched in runs:
+            name = kind if kind == "secret" else max((good[p] for p in patterns if p in good), default=(0, None))[1] if not kind else None
+            if m == n and not touched and name and not any(s < start + len(value) and start < e for _, s, e, _ in base):
+                spans.append((pii.ALL_KINDS.index(name), start, start + len(value), name))
+        out.append((key, ",".join(f"{k}:{s}:{e}" for _, s, e, k in sorted(spans))))
+    return sorted(out, key=repr)
+
+
+def test_pii_equals_a_plain_bootstrap(spark):
+    rnd = random.Random(3)
+    hexes = lambda n=40: "".join(rnd.choice("0123456789abcdef") for _ in range(n)) + "a1"
+    make = {
+        "mail": lambda: f"{rnd.choice('abcd')}{rnd.randint(1, 40)}@x.org",
+        "phone": lambda: f"+1 (555) 555-{rnd.randint(1000, 1040)}",
+        "secret": lambda: rnd.choice(['"{}"', "{}", "<{}>,"]).format(hexes()),
+        "number": lambda: str(rnd.randint(1, 60)),
+        "code": lambda: f"k{rnd.randint(1, 12)}-7",
+    }
+    slots = [("call", "mail", 0.7), ("dial now", "phone", 0.8), ("token =", "secret", 0.6), ("x =", "number", 0.9), ("call", "code", 0.3), ("key :", "code", 0.7), ("the", "number", 0.5), ("desk", "code", 0.6)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rnd.randint(0, 8)):
+            words.append(rnd.choice(["so", "the", "a", "or", "="]))
+            lead, kind, often = rnd.choice(slots)
+            words += [lead, make[kind]() if rnd.random() < often else rnd.choice(["well", make["code"](), "no"])]
+        rows.append((i, rnd.choice([" ", "  ", "\n"]).join(words)))
+    rows += [(500, None), (501, ""), (502, "token = k9-7"), (502, "token = k9-7"), (None, "token = abc1"), (503, "x = 5")]
+    df = spark.createDataFrame([(*r, "w", 1, 2, "k") for r in rows], "doc_id long, text string, word string, row int, start int, kind string")
+    want = plain_pii(rows)
+    got = rows_of(pii.find(df).select("doc_id", pii.joined("spans")))
+    assert got == want
+    added = collections.Counter(s.split(":")[0] for _, spans in want for s in spans.split(",") if s)
+    assert added["secret"] > 30 and (502, "secret:8:12") in want and (503, "") in want
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.example.net/en/x", "http://example.net/eng", "https://net/", "https://net", "http://x.org/fr/?q", "http://xorg/fr/", "http://b.example.com/de/#f"]
     table = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
