@@ -39,7 +39,7 @@ from demandlens.session import stage
 #: Bytes of text that are counted and looked up together.
 SLICE_BYTES = 4_000_000
 #: Links that a worker keeps in its windows.
-KEPT = 1_000_000
+KEPT = 1_500_000
 
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, slice long, "
@@ -69,7 +69,7 @@ class ByteVocabulary:
             self.bytes[i] = token
 
     def encode(self, documents: list[str]) -> list[np.ndarray]:
-        return [self.encoding.encode_to_numpy(text, disallowed_special=()) for text in documents]
+        return [np.array(self.encoding.encode_ordinary(text), np.uint32) for text in documents]
 
 
 class PieceVocabulary:
@@ -95,7 +95,8 @@ class TokenBytes:
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.marked = np.array([t[:1] == b" " for t in tokens])
         self.sizes, self.names = self.size.tolist(), list(map(str, range(len(tokens))))
-        self.start = np.cumsum(self.size) - self.size
+        self.short = self.size.astype(np.int32)
+        self.start = np.cumsum(self.short, dtype=np.int32) - self.short
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
@@ -106,18 +107,18 @@ class TokenBytes:
         at = 0
         for first in range(0, len(ids), 100_000):
             some = ids[first : first + 100_000]
-            size = self.size[some]
-            ends = np.cumsum(size)
+            size = self.short[some]
+            ends = np.cumsum(size, dtype=np.int32)
             total = int(ends[-1])
-            found = self.pool[np.repeat(self.start[some] - ends + size, size) + np.arange(total)]
+            found = self.pool[np.repeat(self.start[some] - ends + size, size) + np.arange(total, dtype=np.int32)]
             if not np.array_equal(found, full[at : at + total]):
                 return False
             at += total
         return at == len(full)
 
 
-def align_window(a: list[int], b: list[int], of_a: TokenBytes, of_b: TokenBytes) -> tuple[str, int, list[int]]:
-    """The groups as text, how many they are, and a code for each pair of tokens that overlap."""
+def align_window(a: list[int], b: list[int], of_a: TokenBytes, of_b: TokenBytes) -> tuple[str, list[int]]:
+    """The groups as text, and a code for each pair of tokens that overlap."""
     size_a, name_a, size_b, name_b = of_a.sizes, of_a.names, of_b.sizes, of_b.names
     groups, codes = [], []
     i, j, x, y = 0, 0, a[0], b[0]
@@ -128,7 +129,7 @@ def align_window(a: list[int], b: list[int], of_a: TokenBytes, of_b: TokenBytes)
             groups.append(f"{left}|{right}")
             i, j = i + 1, j + 1
             if i == len(a):
-                return ";".join(groups), len(groups), codes
+                return ";".join(groups), codes
             x, y = a[i], b[j]
             left, right = name_a[x], name_b[y]
             end_a += size_a[x]
@@ -156,15 +157,14 @@ class Windows(dict):
         super().__init__()
         self.of_a, self.of_b = of_a, of_b
         self.groups: list[str] = []
-        self.codes, self.n_groups, self.n_links = array("q"), array("q"), array("q")
+        self.codes, self.n_links = array("q"), array("q")
 
     def __missing__(self, key: bytes) -> int:
         ids = memoryview(key).cast("I").tolist()
         cut = ids.index(MARK)
-        groups, n_groups, codes = align_window(ids[:cut], ids[cut + 1 :], self.of_a, self.of_b)
+        groups, codes = align_window(ids[:cut], ids[cut + 1 :], self.of_a, self.of_b)
         number = self[key] = len(self.groups)
         self.groups.append(groups)
-        self.n_groups.append(n_groups)
         self.n_links.append(len(codes))
         self.codes.extend(codes)
         return number
@@ -202,7 +202,7 @@ class Aligner:
         keys[cut_a + cut_b + np.arange(n) + size_a] = MARK
         keys[np.arange(len(b)) + np.repeat(cut_a + size_a + np.arange(n) + 1, size_b)] = b
         raw, ends = keys.tobytes(), (np.cumsum(size_a + size_b + 1) * 4).tolist()
-        return [self.known[raw[i:k]] for i, k in zip([0, *ends], ends)]
+        return list(map(self.known.__getitem__, [raw[i:k] for i, k in zip([0, *ends], ends)]))
 
     def slice(self, number: int, keys: list, documents: list[bytes], together: int = 300_000) -> Iterator[tuple]:
         """A row for each document, with the windows it uses, then the slice's own row with its pairs.
@@ -227,10 +227,10 @@ class Aligner:
                 size += len(new)
                 order.append(new)
                 often[some] += times
-                n_groups = sum(map(known.n_groups.__getitem__, found))
-                n_links = sum(map(known.n_links.__getitem__, found))
                 groups = ";".join(map(known.groups.__getitem__, found))
-                yield key, len(a) if found else 0, len(b) if found else 0, n_groups, n_links, groups, number, place[some], times
+                n_a, n_b, n_groups = (len(a), len(b), groups.count("|")) if found else (0, 0, 0)
+                # Within a group no two tokens end together but the last, so its pairs are its tokens less one.
+                yield key, n_a, n_b, n_groups, n_a + n_b - n_groups, groups, number, place[some], times
         used = np.concatenate([*order, np.zeros(0, np.int64)])
         n_links = np.array(known.n_links, np.int64)
         sizes = n_links[used]
