@@ -6,8 +6,10 @@ passage of a document. It is split into k + 1 pieces; k errors leave one of them
 an exact piece. One automaton finds the pieces of all items in a whole text; around each hit the distance
 to the best passage is computed with one bit for each character of the item.
 
-The items are small next to the corpus; they are sent to all tasks in slices of ``SLICE_BYTES`` at most,
-with one pass over the documents for each slice. The documents are not shuffled.
+The items are sent to all tasks in slices of about ``SLICE_BYTES``, with one pass over the documents for each
+slice. The driver holds one slice at a time: with several, each pass is written before the next slice is
+fetched. The documents are not shuffled, except where ``drop_contaminated`` has several slices and joins the
+digests of the texts that are to go.
 
 Defined cases: a null or empty text matches nothing; null or empty items match nothing; equal items are
 found each under its own id; rows with a null id come out with a null id; repeated rows repeat. A document
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import parts, text_bytes, texts
+from demandlens.session import stage
 
 ERROR_RATE = 0.08
 #: Bytes of items that are sent to the tasks at once.
@@ -131,22 +134,34 @@ class Items:
                     yield key, best[0], budget, best[1], best[2]
 
 
+def _slices(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items with the number of their slice, and how many slices there are."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    number = parts(text_bytes(items), SLICE_BYTES)
+    return items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(number))), number
+
+
+def _send(items: DataFrame, number: int):
+    """One slice as a broadcast."""
+    rows = [(r["item_id"], bytes(r["text"])) for r in items.filter(F.col("slice") == number).collect()]
+    return items.sparkSession.sparkContext.broadcast(rows)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """``doc_id, item_id, distance, budget, start, end``; places count characters of the normalised text."""
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    )
-    slices = parts(text_bytes(items), SLICE_BYTES)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
-    found = [_search(docs, items.filter(part == i), error_rate) for i in range(slices)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    items, number = _slices(benchmark)
+    if number == 1:
+        return _search(docs, _send(items, 0), error_rate)
+    out = None
+    for i in range(number):
+        sent = _send(items, i)
+        found = stage(_search(docs, sent, error_rate), "matches")
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(docs: DataFrame, items: DataFrame, error_rate: float) -> DataFrame:
-    rows = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.collect()])
+def _search(docs: DataFrame, rows, error_rate: float) -> DataFrame:
     schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "item_id", "distance", "budget", "start", "end")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,20 +180,26 @@ def _search(docs: DataFrame, items: DataFrame, error_rate: float) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all columns.
 
-    The search is a pure function of the text, so it marks each row where it is read; nothing is joined.
+    The search is a pure function of the text. With one slice it marks each row where it is read and nothing
+    is joined; with several the texts that go are gathered by their digests.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    slices = parts(text_bytes(items), SLICE_BYTES)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
-    kept = docs
-    for i in range(slices):
-        kept = kept.filter(~_flag(kept, items.filter(part == i), error_rate)(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return kept
-
-
-def _flag(docs: DataFrame, items: DataFrame, error_rate: float):
-    rows = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.collect()])
-
+    items, number = _slices(benchmark)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    if number == 1:
+        return docs.filter(~_flag(_send(items, 0), error_rate)(text))
+    gone = None
+    for i in range(number):
+        sent = _send(items, i)
+        found = docs.filter(_flag(sent, error_rate)(text)).select(F.sha2(text, 256).alias("gone")).distinct()
+        found = stage(found, "contaminated")
+        sent.destroy()
+        gone = found if gone is None else gone.unionByName(found)
+    packed = docs.select(F.struct("*").alias("doc"))
+    own = F.sha2(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary"), 256)
+    return packed.join(gone.distinct(), own == F.col("gone"), "left_anti").select("doc.*")
+
+
+def _flag(rows, error_rate: float):
     @F.arrow_udf("boolean")
     def contaminated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         search = Items(rows.value, error_rate).search
