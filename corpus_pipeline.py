@@ -1,4 +1,12 @@
-"""A training corpus from the documents table: five stages, each written and read again by the next."""
+"""A training corpus from the documents table: five stages, each written and read again by the next.
+
+Defined cases: a null text counts as empty in every stage, and of all empty texts one row stays, the one with the
+smallest id; it is packed as its end mark. Rows without an id take part in toxicity, exact dedup and
+decontamination, are never near copies, and stay beside rows that have ids only if no equal text has one. Repeated
+rows become one. Rows that share an id but not their text are judged each for itself; of near copies the smallest
+id stays. Without usable labels nothing is toxic; without benchmark items nothing is contaminated; an empty table
+gives an empty result. Further columns, whatever their names, come through all stages but the last.
+"""
 
 from __future__ import annotations
 
