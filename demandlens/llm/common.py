@@ -32,14 +32,15 @@ def parts(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """``texts`` with a chunk number that depends on the id alone.
+def chunked(docs: DataFrame, chunks: int, by_text: bool = False) -> DataFrame:
+    """``texts`` with a chunk number that depends on the id alone, or with ``by_text`` on id and text.
 
     A chunk is the unit in which a group function holds documents, so its size is bounded by
-    the choice of ``chunks``. Plans that group by it several times share one shuffle of the texts.
-    Rows without an id go by their text.
+    the choice of ``chunks``; a document is never cut, so one longer than that is a chunk's whole load.
+    Plans that group by it several times share one shuffle of the texts. Rows without an id go by their
+    text. With ``by_text`` different texts under one id are spread too; only rows equal in both stay together.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    key = F.xxhash64("doc_id", "text") if by_text else F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     return texts(docs).withColumn("chunk", F.pmod(key, F.lit(chunks)).cast("int"))
 
 
@@ -60,6 +61,12 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order. Sorting is many times as fast as the hash table of ``np.unique``."""
+    held = np.sort(values)
+    return held[np.append(True, held[1:] != held[:-1])] if len(held) else held
+
+
 _ODD = 0x9E3779B97F4A7C15
 
 

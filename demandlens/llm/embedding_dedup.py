@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandlens.llm.common import distinct as ordered
 from demandlens.llm.jaccard_join import components
 from demandlens.session import stage
 
@@ -130,7 +131,7 @@ class Graph:
             row = np.repeat(np.arange(len(active)), near.shape[1]).reshape(near.shape)
             fresh = (near >= 0) & ~seen[active[row], near]
             # One node may stand in several lists of a row.
-            flat = np.unique(row[fresh] * len(self.x) + near[fresh])
+            flat = ordered(row[fresh] * len(self.x) + near[fresh])
             r, node = flat // len(self.x), flat % len(self.x)
             seen[active[r], node] = True
             value = np.einsum("ij,ij->i", self.x[node], q[active[r]])
@@ -229,7 +230,7 @@ class Graph:
                 r = np.repeat(rows, near.shape[1])[near.reshape(-1) >= 0]
                 near = near.reshape(-1)[near.reshape(-1) >= 0]
                 fresh = ~seen[r, near]
-                flat = np.unique(r[fresh] * len(self.x) + near[fresh])
+                flat = ordered(r[fresh] * len(self.x) + near[fresh])
                 r, near = flat // len(self.x), flat % len(self.x)
                 seen[r, near] = True
                 value = np.concatenate([np.einsum("ij,ij->i", self.x[near[i : i + 50_000]], some[r[i : i + 50_000]]) for i in range(0, len(r), 50_000)] or [np.zeros(0)])

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import WordHash, chunked, mix, pack, parts, text_bytes, texts, unpack, windows
+from demandlens.llm.common import WordHash, chunked, distinct, mix, pack, parts, text_bytes, texts, unpack, windows
 from demandlens.session import stage
 
 WORDS, PERCENT = 3, 90
@@ -59,7 +59,7 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     values = _hashes().of(found)
-    return np.unique(windows(values, words) if len(values) >= words else mix(windows(values, len(values)) + np.uint64(len(values))))
+    return distinct(windows(values, words) if len(values) >= words else mix(windows(values, len(values)) + np.uint64(len(values))))
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:

@@ -18,19 +18,20 @@ a bucket one entry a chunk. Chunks and buckets are bounded by the number of byte
 shuffled once, and all passes read that shuffle.
 
 Defined cases: a null text has no words; documents with fewer than ``k`` words stay whole. A row without
-an id counts as larger than all ids; rows that share an id are never each other's source. Empty tables
-give empty results. Only ``doc_id`` and ``text`` are read.
+an id counts as larger than all ids; rows that share an id are never each other's source. A document
+longer than a chunk is read whole, as a chunk of its own size. Empty tables give empty results. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from demandlens.llm.common import WordHash, chunked, mix, pack, parts, text_bytes, unpack, windows
+from demandlens.llm.common import WordHash, chunked, distinct, mix, pack, parts, text_bytes, unpack, windows
 
 K = 13
 #: Bytes of text in a chunk and, on average, of the texts whose edges fall in a bucket.
@@ -65,15 +66,22 @@ class Chunk:
         column = table.column("text")
         self.ids, self.null = ids[order], keys.is_null().to_numpy()[order]
         self.words = [column[int(i)].as_py().split() for i in order]
+        counts = np.array([len(w) for w in self.words], np.int64)
+        self.sizes = np.maximum(counts - k + 1, 0)
+        self.row = np.repeat(np.arange(len(counts)), self.sizes)
+        self.place = np.arange(int(self.sizes.sum())) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        # All documents in one array; windows that reach into the next document are left out.
         hashes = WordHash()
-        values = [hashes.of(w) for w in self.words]
-        edges = [windows(v, k) for v in values]
-        second = [windows(mix(v ^ np.uint64(0xA5A5A5A5A5A5A5A5)), k) for v in values]
-        self.sizes = np.array([len(e) for e in edges], np.int64)
-        self.first = np.concatenate([*edges, np.zeros(0, np.uint64)])
-        self.second = np.concatenate([*second, np.zeros(0, np.uint64)])
-        self.row = np.repeat(np.arange(len(edges)), self.sizes)
-        self.place = np.arange(len(self.first)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self._values = np.concatenate([*map(hashes.of, self.words), np.zeros(0, np.uint64)])
+        self._at, self._k = (np.cumsum(counts) - counts)[self.row] + self.place, k
+
+    @functools.cached_property
+    def first(self) -> np.ndarray:
+        return windows(self._values, self._k)[self._at]
+
+    @functools.cached_property
+    def second(self) -> np.ndarray:
+        return windows(mix(self._values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self._k)[self._at]
 
 
 def ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -114,11 +122,11 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept`` (the words left, one space between) and ``spans``."""
     size = text_bytes(docs)
     buckets = parts(size, BUCKET_BYTES)
-    chunks = chunked(docs, parts(size, CHUNK_BYTES))
+    chunks = chunked(docs, parts(size, CHUNK_BYTES), by_text=True)
 
     def edges(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()
-        found = np.unique(Chunk(table, k).first)
+        found = distinct(Chunk(table, k).first)
         rows = [(b, number, pack(found[s])) for b, s in cuts(ranges(found, buckets), buckets)]
         return table_of({"bucket": INT, "chunk": INT, "hashes": BIN}, rows)
 
@@ -127,7 +135,7 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
         if not table.num_rows or not answers.num_rows:
             return table_of(schema, [])
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, k)
-        found = np.unique(chunk.first)
+        found = distinct(chunk.first)
         twice = np.zeros(len(found), bool)
         masks = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()))
         for b, s in cuts(ranges(found, buckets), buckets):

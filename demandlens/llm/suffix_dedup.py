@@ -219,7 +219,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS)
         raise ValueError(f"length must be {ANCHOR + DIGIT} at least")
     size = text_bytes(docs)
     buckets = parts(size, BUCKET_BYTES)
-    chunks = chunked(docs, parts(size, CHUNK_BYTES))
+    chunks = chunked(docs, parts(size, CHUNK_BYTES), by_text=True)
 
     def first_digits(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()

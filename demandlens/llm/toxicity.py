@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import pack, texts, unpack
+from demandlens.llm.common import distinct, pack, texts, unpack
 from demandlens.session import stage
 
 SAMPLE = 16_000
@@ -179,8 +179,8 @@ def _score(text: bytes, weights: np.ndarray, bias: float) -> float:
     hits = [np.zeros(0, np.int64)]
     for begin in range(0, len(data), PART):
         for _, numbers in feature_numbers(data[begin : begin + PART + max(SIZES) - 1]):
-            hits.append(np.unique(numbers[weights[numbers] != 0]))
-    z = float(weights[np.unique(np.concatenate(hits))].sum(dtype=np.float64)) + bias
+            hits.append(distinct(numbers[weights[numbers] != 0]))
+    z = float(weights[distinct(np.concatenate(hits))].sum(dtype=np.float64)) + bias
     return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
