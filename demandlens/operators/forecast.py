@@ -144,6 +144,11 @@ def forecast_range(
     if start > end:
         raise ValueError("start date must not be after end date")
     keys = list(by)
+    if not keys:
+        # A single series is one row of a store, not a group of rows.
+        from demandlens.operators import forecast_store
+
+        return forecast_store.forecast_from_store(forecast_store.fit_store(daily, (), measure, season), start, end, (), level)
     z = Z_VALUES[level]
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,12 +192,9 @@ def forecast_range(
         result["method"] = method
         return result
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in daily.select(*keys).schema] if keys else []
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in daily.select(*keys).schema]
     schema = ", ".join(
         [*fields, "date date", "predicted_revenue double", "lower double", "upper double", "method string"]
     )
     series = daily.select(*keys, "date", F.col(measure).alias("y"))
-    if not keys:
-        # One series of one row per calendar day.
-        return series.groupBy(F.lit(0).alias("_one")).applyInPandas(per_series, schema)
     return series.groupBy(*keys).applyInPandas(per_series, schema)
