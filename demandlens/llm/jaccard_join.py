@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import WordHash, chunked, distinct, mix, pack, parts, text_bytes, texts, unpack, windows
-from demandlens.session import stage
+from demandlens.session import stage, unstage
 
 WORDS, PERCENT = 3, 90
 #: Counters of the sketch, and the slices that they travel in: 4 MB for a task and for the broadcast.
@@ -271,10 +271,15 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     about = seen.filter("doc_id IS NOT NULL AND n > 0").select(F.col("doc_id").alias("id"), "digest", "n", "lone", "posted")
     classes = first.join(about, ["id", "digest"]).dropDuplicates(["id"])
     posted = stage(classes.select("id", "n", "lone", F.posexplode("posted").alias("at", "shingle")), "posted")
+    first = stage(first, "first")
+    # The posted lists are the bulk of the sets; from here on only their sizes are read.
+    sizes = stage(seen.select("doc_id", "n"), "sizes")
+    unstage(seen)
     lists = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.min(F.struct(F.col("lone") / F.col("n"), "id", "n")).alias("pivot"))
     lists = lists.filter("size > 1").select("shingle", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("n_a"))
     close = F.expr(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
     listed = stage(posted.join(lists, "shingle"), "lists")
+    unstage(posted)
     stars = listed.filter("id <> a").filter(close).select("a", F.col("id").alias("b")).distinct()
     links = stage(search(docs, stars, words, percent, size), "links")
     at = components(links)
@@ -282,6 +287,7 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     labelled = listed.join(at, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_lists = stage(labelled.filter("id <> a").join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "id", "n", "at", "component"), "open")
+    unstage(listed)
     left = open_lists.select("shingle", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
     # After this shingle both have at most so many in common.
     reach = F.expr(f"least(n - at, n_a - at_a) * {100 + percent} >= {percent} * (n + n_a)")
@@ -291,7 +297,7 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         at = components(links.unionByName(stage(search(docs, pairs, words, percent, size), "links")))
     class_of = members.join(first, "digest").join(at, "id", "left")
     reached = class_of.select(F.col("doc_id").alias("key"), F.coalesce("component", "id").alias("found"))
-    out = seen.join(reached, F.col("doc_id") == F.col("key"), "left")
+    out = sizes.join(reached, F.col("doc_id") == F.col("key"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
 
 
