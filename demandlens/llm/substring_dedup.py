@@ -3,8 +3,8 @@
 Each run of ``k`` words is an edge between its first and its last k - 1 words. Two joins on edges put
 the graph together:
 
-1. Every chunk of documents sends the hashes of its edges, packed and sorted, to the bucket of their
-   range, and learns which of them another chunk has too. Edges seen once leave here.
+1. Every chunk of documents sends 32 bits of its edges' hashes, packed, to the bucket of their range,
+   and learns which of them another chunk may have too. Edges seen once leave here, but for a few.
 2. The edges left are sent with a second hash and their coordinates (document, position). A bucket
    answers with the coordinates of the edge's source, its first occurrence in the smallest document.
 
@@ -56,6 +56,12 @@ def table_of(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 INT, BIN, LONG = pa.int32(), pa.binary(), pa.int64()
 
 
+@functools.lru_cache(1)
+def _hashes() -> WordHash:
+    """One for each worker process, which all its chunks share."""
+    return WordHash()
+
+
 class Chunk:
     """The words of a chunk's documents in the order of ids, and the edges of them all in one array."""
 
@@ -71,8 +77,7 @@ class Chunk:
         self.row = np.repeat(np.arange(len(counts)), self.sizes)
         self.place = np.arange(int(self.sizes.sum())) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         # All documents in one array; windows that reach into the next document are left out.
-        hashes = WordHash()
-        self._values = np.concatenate([*map(hashes.of, self.words), np.zeros(0, np.uint64)])
+        self._values = np.concatenate([*map(_hashes().of, self.words), np.zeros(0, np.uint64)])
         self._at, self._k = (np.cumsum(counts) - counts)[self.row] + self.place, k
 
     @functools.cached_property
@@ -103,7 +108,7 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
 def shared(table: pa.Table) -> pa.Table:
     """For each chunk's sorted hashes in a bucket, one bit each: whether another chunk has it."""
     bucket = table.column("bucket")[0].as_py()
-    sent = [unpack(x.as_py()) for x in table.column("hashes")]
+    sent = [unpack(x.as_py(), np.uint32) for x in table.column("hashes")]
     hashes = np.concatenate(sent)
     order = np.argsort(hashes)
     equal = hashes[order][1:] == hashes[order][:-1]
@@ -127,7 +132,8 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     def edges(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()
         found = distinct(Chunk(table, k).first)
-        rows = [(b, number, pack(found[s])) for b, s in cuts(ranges(found, buckets), buckets)]
+        # The range is the hash's upper part; the lower one tells edges of a range apart well enough here.
+        rows = [(b, number, pack(found[s].astype(np.uint32))) for b, s in cuts(ranges(found, buckets), buckets)]
         return table_of({"bucket": INT, "chunk": INT, "hashes": BIN}, rows)
 
     def placed(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -135,12 +141,16 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
         if not table.num_rows or not answers.num_rows:
             return table_of(schema, [])
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, k)
-        found = distinct(chunk.first)
+        order = np.argsort(chunk.first)
+        starts = starts_of(chunk.first[order])
+        found = chunk.first[order[starts]]
         twice = np.zeros(len(found), bool)
         masks = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()))
         for b, s in cuts(ranges(found, buckets), buckets):
             twice[s] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=s.stop - s.start)
-        some = np.flatnonzero(twice[np.searchsorted(found, chunk.first)])
+        again = np.empty(len(order), bool)
+        again[order] = np.repeat(twice, np.diff(np.append(starts, len(order))))
+        some = np.flatnonzero(again)
         bucket, second = ranges(chunk.first[some], buckets), chunk.second[some]
         # The first of equal edges stays; rows are in the order of ids, edges in that of places.
         order = np.lexsort((second, bucket))
