@@ -11,7 +11,7 @@
 5. Each vector is searched for from the medoid of its cells over the joined lists, greedily; then whatever lies in
    range, or little outside, is expanded until nothing new is in range. Links are verified in double precision.
 6. ``recall`` compares a bounded, fixed set of vectors with all vectors. Where less than ``LEAST_RECALL`` of their
-   links were found, the shards are built anew with twice the overlap.
+   links were found, the shards are built anew with more overlap.
 
 A pair that meets in several cells counts in the first of them. Cells give counts and a spanning set of links, not
 pairs; the blocks of a shard are compared two by two, so nothing is lost where a shard does not split.
