@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandlens.functions.calendar import DAY_NAMES
 from demandlens.functions.numeric import percent_difference
+from demandlens.session import stage
 
 
 def align_by_key(actuals: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,11 +37,15 @@ def compare_to_segments(
     measure: str = "revenue",
     predicted: str = "predicted_revenue",
 ) -> DataFrame:
-    """Each prediction next to the real averages of its segments and of all sales."""
+    """Each prediction next to the real averages of its segments and of all sales.
+
+    The averages are written first: Spark then knows their size when it plans the joins, and
+    does not shuffle the predictions into one task for each segment if there are few.
+    """
     overall = history.agg(F.avg(measure)).scalar()
     out = predictions
     for key in keys:
-        out = out.join(segment_averages(history, key, measure), key, "left")
+        out = out.join(stage(segment_averages(history, key, measure), "averages"), key, "left")
         out = out.withColumn(f"{key}_diff_pct", percent_difference(predicted, f"{key}_average"))
     return out.withColumn("overall_average", overall).withColumn(
         "overall_diff_pct", percent_difference(predicted, F.col("overall_average"))
