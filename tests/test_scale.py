@@ -41,3 +41,12 @@ def test_few_segments_do_not_shuffle_the_predictions(spark):
     assert len(rows) == 50_001
     averages = {r["category"]: r["category_average"] for r in rows}
     assert averages["9"] is None and averages["0"] == pytest.approx(sum(range(0, 50_000, 3)) / len(range(0, 50_000, 3)))
+
+
+def test_a_region_is_monitored_as_one_batch_of_many_files(spark, sf, monkeypatch):
+    folders = {}
+    monkeypatch.setattr(stores, "shared_folder", lambda s, name: folders.setdefault(name, shared_folder(s, name)))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        got = stores.st3(spark, sf).collect()
+    assert len(list(Path(folders["batches"].removeprefix("file:")).glob("*.parquet"))) > 2 * len(stores.REGIONS)
+    assert sorted({r["region"] for r in got}) == sorted(stores.REGIONS) and len(got) == 4 * len(stores.REGIONS)
