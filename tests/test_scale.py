@@ -50,3 +50,24 @@ def test_a_region_is_monitored_as_one_batch_of_many_files(spark, sf, monkeypatch
         got = stores.st3(spark, sf).collect()
     assert len(list(Path(folders["batches"].removeprefix("file:")).glob("*.parquet"))) > 2 * len(stores.REGIONS)
     assert sorted({r["region"] for r in got}) == sorted(stores.REGIONS) and len(got) == 4 * len(stores.REGIONS)
+
+
+def test_bootstrap_sends_sums_and_equals_the_plain_one(spark):
+    rows = [(k, None if k % 5 == 0 else f"g{k % 3}", k % 2, float(k % 7) if k % 11 else None) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "k long, g string, h int, x double").withColumn("k", F.when(F.col("k") % 13 > 0, F.col("k")))
+    by, keys = ["g", "h"], ["k"]
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="100"):
+        out = bootstrap.mean_interval(df, by, "x", keys, replicates=20, seed=3)
+        got = {r[:2]: r[2:] for r in out.collect()}
+    # A list of replicates comes with a batch's group, not with a row.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.index("Generate") < plan.index("MapInArrow")
+    known = df.filter("x is not null")
+    drawn = known.select(*by, "x", F.posexplode(bootstrap.weights([F.col("k")], 20, 3)).alias("r", "w"))
+    value = drawn.groupBy(*by, "r").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("v"))
+    ends = value.groupBy(*by).agg(F.percentile("v", F.lit(0.025)).alias("lower"), F.percentile("v", F.lit(0.975)).alias("upper"))
+    plain = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    want = {tuple(r[:2]): r[2:] for r in plain.join(ends, (plain.g.eqNullSafe(ends.g)) & (plain.h == ends.h)).select(plain.g, plain.h, "n", "mean", "lower", "upper").collect()}
+    assert set(got) == set(want) and len(want) == 8
+    for k, v in want.items():
+        assert tuple(got[k]) == pytest.approx(tuple(v))
