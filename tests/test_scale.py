@@ -71,3 +71,28 @@ def test_bootstrap_sends_sums_and_equals_the_plain_one(spark):
     assert set(got) == set(want) and len(want) == 8
     for k, v in want.items():
         assert tuple(got[k]) == pytest.approx(tuple(v))
+
+
+def _sales(spark):
+    day = F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") / 10).cast("int"))
+    numbers = {c: (F.col("id") * (i + 3) % 101).cast("double") for i, c in enumerate(training.NUMERIC)}
+    names = F.array(F.lit("A B"), F.lit("C"), F.lit(None))
+    text = {"category": F.get(names, (F.col("id") % 3).cast("int")), "region": F.get(names, (F.col("id") % 2).cast("int"))}
+    return spark.range(4_000).withColumns({"transaction_date": day, **numbers, **text})
+
+
+def test_what_training_keeps_and_sends(spark):
+    with settings(spark, spark__sql__shuffle__partitions="200"):
+        data = training.prepare(_sales(spark), ["transaction_date", "id"])
+        assert data.train.count() + data.test.count() == 4_000 - 30
+        # A partition sends statistics of all nodes of all trees, at each level.
+        assert data.train.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    cached = [x for x in data.train._jdf.queryExecution().withCachedData().toString().split("\n") if "InMemoryRelation" in x]
+    assert cached and not any("features#" in x for x in cached)
+    columns = data.preparation.feature_columns
+    assert columns[-1].startswith("season_") and columns.index("category_A B") < columns.index("region_C") < columns.index("revenue_lag_1")
+    for r in data.train.limit(50).collect():
+        assert [float(r[c]) for c in columns] == r["features"].toArray().tolist()
+        assert r["category_A B"] + r["category_C"] == (0.0 if r["key_id"] % 3 == 2 else 1.0)
+    for learner in (trees.random_forest(), trees.gradient_boosting()):
+        assert not learner.getCacheNodeIds()
