@@ -9,8 +9,9 @@ from pathlib import Path
 import pytest
 from demandlens.catalog import stores
 from demandlens.operators import align, bootstrap, trees
+from demandlens.operators import features as fp
 from demandlens.plans import training
-from demandlens.session import shared_folder
+from demandlens.session import SHUFFLE_CLEANUP, shared_folder, stage
 from pyspark.sql import functions as F
 
 
@@ -96,3 +97,36 @@ def test_what_training_keeps_and_sends(spark):
         assert r["category_A B"] + r["category_C"] == (0.0 if r["key_id"] % 3 == 2 else 1.0)
     for learner in (trees.random_forest(), trees.gradient_boosting()):
         assert not learner.getCacheNodeIds()
+
+
+def test_training_shuffles_and_keeps_only_what_rows_cannot_be_expanded_from(spark):
+    data = training.prepare(_sales(spark), ["transaction_date", "id"])
+    kept = [x for x in data.train._jdf.queryExecution().withCachedData().toString().split("\n") if "InMemoryRelation" in x]
+    assert kept and all("category#" in x and "revenue_lag_1#" in x for x in kept)
+    assert not any(f"{c}#" in x for x in kept for c in ("category_A B", "region_C", "month", "is_weekend", "season_spring"))
+    assert {"category_A B", "region_C", "month", "is_weekend"} <= set(data.train.columns)
+
+
+@pytest.mark.parametrize("include_onehot", [False, True])
+def test_rows_expanded_late_equal_those_cleaned_at_once(spark, include_onehot):
+    df = _sales(spark)
+    full, prep = training.feature_frame(df, ["transaction_date", "id"], include_onehot=include_onehot)
+    names = [c for c in prep.feature_columns if "_lag_" not in c and "_rollmean_" not in c]
+    at_once = fp.add_calendar(fp.apply_cleaning(df, prep, training.NUMERIC))
+    assert names == [c for c in at_once.columns if c not in ("id", "transaction_date", "revenue")]
+    want = {r["id"]: [r[c] for c in [*names, "revenue"]] for r in at_once.collect()}
+    got = {r["key_id"]: [r[c] for c in [*names, "revenue"]] for r in full.collect()}
+    assert len(got) == 4_000 - 30 and all(want[k] == v for k, v in got.items())
+    # A row without category or region is kept: its flags are 0, or the median where flags are treated.
+    assert any(k % 3 == 2 for k in got) and any(k % 2 == 0 for k in got)
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).glob("*/shuffle_*")}
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    groups = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("s"))
+    staged = stage(groups.repartition(3))
+    assert not files() - before
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert sorted(staged.collect()) == sorted(groups.collect()) and staged.count() == 100
