@@ -12,6 +12,7 @@ from demandlens.operators import align, bootstrap, trees
 from demandlens.operators import features as fp
 from demandlens.plans import training
 from demandlens.session import SHUFFLE_CLEANUP, shared_folder, stage
+from demandlens.sources.star import ORDER_KEYS
 from pyspark.sql import functions as F
 
 
@@ -130,3 +131,14 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert not files() - before
     assert spark.conf.get(SHUFFLE_CLEANUP) == setting
     assert sorted(staged.collect()) == sorted(groups.collect()) and staged.count() == 100
+
+
+def test_requests_are_removed_after_the_stream(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(stores, "stage", lambda *a: made.append(stage(*a)) or made[-1])
+    data = training.prepare(stores.sales(spark, sf, ["category", "region", *stores.AD_COLUMNS]), ORDER_KEYS)
+    model = trees.random_forest(trees=2, depth=2).fit(data.train)
+    monkeypatch.setattr("demandlens.catalog.modelling.fitted", lambda *_: (data, {"random_forest": model}))
+    rows = stores.st1(spark, sf).collect()
+    assert len(made) == 1 and not Path(made[0]._staged_at.removeprefix("file:")).exists()
+    assert sum(r["n"] for r in rows) == stores.sales(spark, sf, []).count()
