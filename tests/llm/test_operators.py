@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -554,6 +555,40 @@ def test_packing(docs, none):
     assert packing.pack(none, catalog.vocabulary(), 2).count() == 0
 
 
+def test_packing_learns_plain_words_without_the_tokenizer():
+    """Ids are the tokenizer's own, which is asked only for words that are not plain."""
+    rnd, path = random.Random(3), catalog.vocabulary()
+    letters = [*"aAzZéÉßÿÀ'sStTreRElLdDmMvV019.,!?<|>-_*ª²µİſ中🙂×", "e\u0301", "\x00", "\x1c", "\x85", "\xa0", "\x01", "\x02"]
+    odd = " ".join("".join(rnd.choices(letters, k=rnd.randint(1, 9))) for _ in range(2_000))
+    odd += " x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|> IT'S 'sample ''s don't'll " + "a" * 2_000
+    assert packing.has_plain_words(path)
+    coder, own = packing.WordIds(path, plain=True), packing.WordIds(path)
+    asked, encode = [], coder.encode
+    coder.encode = lambda batch: asked.extend(batch) or encode(batch)
+    plain = "The café's 27 naïve Ærøskøbing, (été) don't!! x_y-z 3.14"
+    got = list(coder.of([plain.encode()]))
+    assert asked == []
+    got += coder.of([odd.encode(), b"", plain.encode()])
+    assert asked
+    want = [own.encode([text])[0] for text in (plain, odd, "", plain)]
+    assert [x.tolist() for x in got] == want
+
+
+def test_packing_needs_merges_that_are_reached(tmp_path):
+    """Where a token is not what its characters are merged to, or the file splits otherwise, the tokenizer is asked."""
+    described = json.loads(open(catalog.vocabulary(), encoding="utf-8").read())
+    for name, change in {
+        # "in" comes together first, so "i" and "ng" never meet.
+        "merges": lambda d: d["model"]["merges"].__setitem__(-1, ["i", "ng</w>"]) or d["model"]["vocab"].update({"ing</w>": 49405, "jekyll</w>": 519}),
+        "normalizer": lambda d: d["normalizer"]["normalizers"].pop(),
+        "split": lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(invert=False),
+    }.items():
+        changed = json.loads(json.dumps(described))
+        change(changed)
+        (tmp_path / name).write_text(json.dumps(changed))
+        assert not packing.has_plain_words(str(tmp_path / name))
+
+
 def test_pipeline(spark, sf):
     """Its rows are the packing of documents that each earlier stage, replayed plainly, keeps."""
     import corpus_pipeline
