@@ -89,12 +89,11 @@ class PieceVocabulary:
 
 
 class TokenBytes:
-    """Sizes and bytes of a vocabulary's tokens, and their ids as text."""
+    """Sizes and bytes of a vocabulary's tokens."""
 
     def __init__(self, tokens: list[bytes]):
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.marked = np.array([t[:1] == b" " for t in tokens])
-        self.sizes, self.names = self.size.tolist(), list(map(str, range(len(tokens))))
         self.short = self.size.astype(np.int32)
         self.start = np.cumsum(self.short, dtype=np.int32) - self.short
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
@@ -117,58 +116,64 @@ class TokenBytes:
         return at == len(full)
 
 
-def align_window(a: list[int], b: list[int], of_a: TokenBytes, of_b: TokenBytes) -> tuple[str, list[int]]:
-    """The groups as text, and a code for each pair of tokens that overlap."""
-    size_a, name_a, size_b, name_b = of_a.sizes, of_a.names, of_b.sizes, of_b.names
-    groups, codes = [], []
-    i, j, x, y = 0, 0, a[0], b[0]
-    end_a, end_b, left, right = size_a[x], size_b[y], name_a[x], name_b[y]
-    while True:
-        codes.append(x << 32 | y)
-        if end_a == end_b:
-            groups.append(f"{left}|{right}")
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), codes
-            x, y = a[i], b[j]
-            left, right = name_a[x], name_b[y]
-            end_a += size_a[x]
-            end_b += size_b[y]
-        elif end_a < end_b:
-            i += 1
-            x = a[i]
-            left = f"{left},{name_a[x]}"
-            end_a += size_a[x]
-        else:
-            j += 1
-            y = b[j]
-            right = f"{right},{name_b[y]}"
-            end_b += size_b[y]
-
-
 #: Stands between the ids of A and of B in a window's key.
 MARK = 0xFFFFFFFF
 
 
 class Windows(dict):
-    """Numbers of windows by their ids, and each one's alignment, found when it is first asked for."""
+    """Numbers of windows by their ids, and each one's alignment, found with ``learn`` for all new ones together."""
 
     def __init__(self, of_a: TokenBytes, of_b: TokenBytes):
         super().__init__()
         self.of_a, self.of_b = of_a, of_b
+        self.names = np.array(list(map(str, range(max(len(of_a.size), len(of_b.size))))), object)
+        self.new: list[bytes] = []
         self.groups: list[str] = []
         self.codes, self.n_links = array("q"), array("q")
 
     def __missing__(self, key: bytes) -> int:
-        ids = memoryview(key).cast("I").tolist()
-        cut = ids.index(MARK)
-        groups, codes = align_window(ids[:cut], ids[cut + 1 :], self.of_a, self.of_b)
-        number = self[key] = len(self.groups)
-        self.groups.append(groups)
-        self.n_links.append(len(codes))
-        self.codes.extend(codes)
+        self.new.append(key)
+        number = self[key] = len(self)
         return number
 
+    def learn(self, together: int = 20_000) -> None:
+        for at in range(0, len(self.new), together):
+            self._align(self.new[at : at + together])
+        self.new = []
+
+    def _align(self, keys: list[bytes]) -> None:
+        """The groups of each window as text, and a code for each pair of its tokens that overlap.
+
+        The windows stand behind each other: both tokenizers' tokens of each end at the same byte.
+        """
+        ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
+        marks = np.flatnonzero(ids == MARK)
+        last = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) // 4)
+        side = np.zeros(len(ids), np.int8)
+        side[marks] = 1
+        side[last[:-1]] = -1
+        is_b = np.cumsum(side, dtype=np.int8).astype(bool)
+        a, b = ids[~is_b], ids[is_b & (ids != MARK)]
+        end_a, end_b = self.of_a.ends(a), self.of_b.ends(b)
+        # Of two tokens that overlap one ends first, or both end: a pair for each end.
+        ends = np.sort(np.concatenate([end_a, end_b]))
+        ends = ends[np.append(True, ends[1:] != ends[:-1])]
+        self.codes.frombytes((a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]).tobytes())
+        # A window's last token of B, counted over all windows.
+        final = np.cumsum(np.diff(last, prepend=0) - 1 - (marks - np.append(0, last[:-1]))) - 1
+        self.n_links.frombytes(np.diff(np.searchsorted(ends, end_b[final]), prepend=-1).tobytes())
+        # Groups end where tokens of both do. Names in order: a group's of A, then its of B.
+        close_a, close_b = end_b[np.searchsorted(end_b, end_a)] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
+        group_a, group_b = np.cumsum(close_a) - close_a, np.cumsum(close_b) - close_b
+        through_a, through_b = np.cumsum(np.bincount(group_a)), np.append(0, np.cumsum(np.bincount(group_b)))
+        place_a, place_b = np.arange(len(a)) + through_b[group_a], np.arange(len(b)) + through_a[group_b]
+        written = np.empty(2 * (len(a) + len(b)), object)
+        written[1::2] = ","
+        written[2 * place_a], written[2 * place_b] = self.names[a], self.names[b]
+        written[2 * place_a[close_a] + 1], written[2 * place_b[close_b] + 1] = "|", ";"
+        written[2 * place_b[final] + 1] = "\n"
+        self.groups.extend("".join(written.tolist()).split("\n")[:-1])
+
 
 class Aligner:
     """Encodes documents and keeps the alignments of windows; what is kept is bounded."""
@@ -215,9 +220,10 @@ class Aligner:
         size = 0
         for at in _parts(documents, together):
             texts_of = [t.decode() for t in documents[at]]
-            encoded = zip(self.a.encode([" " + t for t in texts_of]), self.b.encode(texts_of))
-            for key, text, (a, b) in zip(keys[at], documents[at], encoded):
-                found = self.windows(text, a, b) if text else []
+            encoded = list(zip(self.a.encode([" " + t for t in texts_of]), self.b.encode(texts_of)))
+            windows = [self.windows(text, a, b) if text else [] for text, (a, b) in zip(documents[at], encoded)]
+            known.learn()
+            for key, (a, b), found in zip(keys[at], encoded, windows):
                 some, times = np.unique(np.array(found, np.int64), return_counts=True)
                 if len(known.groups) > len(place):
                     place = np.append(place, np.full(len(known.groups) * 3 // 2 - len(place), -1))

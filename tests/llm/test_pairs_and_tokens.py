@@ -275,6 +275,39 @@ def test_kept_windows_are_bounded():
         assert np.array_equal(one[-1][3], two[-1][3]) and np.array_equal(one[-1][4], two[-1][4])
 
 
+def test_windows_are_aligned_together():
+    """A window is only numbered when it is met; all new ones are aligned at once, as each would be by itself."""
+    rnd = random.Random(4)
+    tokens = [b"", b"x", b"yy", b"zzz", b"wwwww"]
+    known = token_alignment.Windows(*(token_alignment.TokenBytes(tokens) for _ in "ab"))
+
+    def filled(size):
+        ids = []
+        while size:
+            ids.append(rnd.choice([i for i in range(1, 5) if len(tokens[i]) <= size]))
+            size -= len(tokens[ids[-1]])
+        return ids
+
+    windows = [(filled(n), filled(n)) for n in (rnd.randint(1, 12) for _ in range(300))]
+    numbers = []
+    for at, together in ((windows[:1], 5), (windows[:200], 7), (windows, 1_000)):
+        numbers = [known[np.array([*a, token_alignment.MARK, *b], "<u4").tobytes()] for a, b in at]
+        assert known.new
+        known.learn(together)
+        assert not known.new and len(known) == len(known.groups) == len(known.n_links)
+    starts = np.cumsum(known.n_links) - known.n_links
+    for (a, b), n in zip(windows, numbers):
+        ends_a, ends_b = (np.cumsum([len(tokens[i]) for i in ids]).tolist() for ids in (a, b))
+        both = sorted({*ends_a} | {*ends_b})
+        pairs = [next(x for x, e in zip(a, ends_a) if e >= end) << 32 | next(y for y, e in zip(b, ends_b) if e >= end) for end in both]
+        groups, at = [], 0
+        for cut in sorted({*ends_a} & {*ends_b}):
+            groups.append("|".join(",".join(str(i) for i, e in zip(ids, ends) if at < e <= cut) for ids, ends in ((a, ends_a), (b, ends_b))))
+            at = cut
+        assert known.groups[n] == ";".join(groups)
+        assert list(known.codes[starts[n] : starts[n] + known.n_links[n]]) == pairs
+
+
 def test_query_digests_groups(spark, sf):
     from demandlens.llm import catalog
 
