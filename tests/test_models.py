@@ -98,6 +98,26 @@ def test_grid_search_finds_the_deeper_tree(data):
     assert all(r["folds"] == 3 for r in summary.collect())
 
 
+def test_grid_search_fits_depths_once(data, monkeypatch):
+    """Points of one fold that differ in depth alone share a fit, with the errors of forests of their own."""
+    grid, fits = {"trees": [3], "depth": [2, 6, 4]}, []
+    plain = trees.random_forest
+    monkeypatch.setattr(trees, "random_forest", lambda **point: fits.append(point) or plain(**point))
+    summary, best = trees.grid_search(data, 2000, grid, splits=2)
+    assert sorted((p["trees"], p["depth"]) for p in fits) == [(3, 6), (3, 6)]
+    found = {(r["trees"], r["depth"]): r["mean_mae"] for r in summary.collect()}
+    own = {}
+    for n, d in found:
+        errors = []
+        for fold in range(2):
+            train, test = trees.fold_filter(fold, 2000, 2)
+            out = plain(trees=n, depth=d).fit(data.filter(train)).transform(data.filter(test))
+            errors.append(out.agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0])
+        own[n, d] = sum(errors) / 2
+    assert found == pytest.approx(own, rel=1e-9)
+    assert (best["trees"], best["depth"]) == min(own, key=own.get)
+
+
 # --- forecasts -------------------------------------------------------------------------
 
 
