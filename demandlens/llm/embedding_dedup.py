@@ -25,6 +25,7 @@ gives an empty result. Only ``vec_id``, ``embedding`` and ``label`` are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from demandlens.session import stage
 
 COSINE = 0.98
 #: Rows of a label or shard that middles and clusters are fitted on, about; rows that go to one assigning task.
-SAMPLE, SALTED = 10_000, 50_000
+SAMPLE, SALTED = 10_000, 10_000
+#: Rows searched for in a cell by one task; numbers held at once by one step in a cell.
+ASKED, HELD = 16_000, 2_000_000
 #: Of the sample, what makes a tight group.
 TIGHT_SHARE = 0.002
 #: Rows that a cell is aimed at and holds at most; clusters of one split; splits after another.
@@ -46,6 +49,8 @@ CELL, BLOCK, CLUSTERS, LEVELS = 1_200, 4_000, 256, 4
 #: A second cluster is taken where its cosine is at most so much smaller.
 OVERLAP = 0.2
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
+#: Queries that are searched for at once.
+ASKING = 256
 #: Lists in which a node stands at least, if it has so many neighbours; pruning alone leaves nodes that no list leads to.
 BACK = 6
 #: What is expanded though it is out of range by so much, and how many of a beam at once.
@@ -148,7 +153,11 @@ class Graph:
         return beam, seen, met
 
     def prune(self, points: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """The lists of ``points`` chosen from the candidates ``near`` (-1: none)."""
+        """The lists of ``points`` chosen from the candidates ``near`` (-1: none), a bounded number at a time."""
+        step = max(1, HELD // (near.shape[1] * self.x.shape[1]))
+        return np.concatenate([self._pruned(points[i : i + step], near[i : i + step]) for i in range(0, len(points), step)] or [np.zeros((0, DEGREE), np.int64)])
+
+    def _pruned(self, points: np.ndarray, near: np.ndarray) -> np.ndarray:
         near = np.where(near == points[:, None], -1, near)
         vectors = self.x[near]
         far = np.where(near < 0, np.inf, 1 - np.einsum("ijk,ik->ij", vectors, self.x[points]))
@@ -211,32 +220,44 @@ class Graph:
         wide = np.full((len(self.x), int(size.max(initial=0))), -1, np.int64)
         for node, some in enumerate(more):
             wide[node, : len(some)] = some
-        wide = np.where((wide[:, :, None] == self.lists[:, None, :]).any(axis=2), -1, wide)
+        step = max(1, HELD // (DEGREE * max(1, wide.shape[1])))
+        for i in range(0, len(wide), step):
+            known = (wide[i : i + step, :, None] == self.lists[i : i + step, None, :]).any(axis=2)
+            wide[i : i + step][known] = -1
         self.lists = np.concatenate([self.lists, wide], 1)
 
     def within(self, q: np.ndarray, cosine: float) -> np.ndarray:
-        """Which nodes are found in range of each query: a greedy search, then expansion within the range."""
+        """Which nodes are found in range of each query."""
         out = np.zeros((len(q), len(self.x)), bool)
-        if not len(self.x):
-            return out
-        for at in range(0, len(q), 256):
-            some = q[at : at + 256]
+        for at, found in self.slices(q, cosine):
+            out[at : at + len(found)] = found
+        return out
+
+    def slices(self, q: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
+        """The same for one slice of the queries after another, with its start: a greedy search, then expansion within the range."""
+        step = max(1, HELD // self.lists.shape[1])
+        for at in range(0, len(q) if len(self.x) else 0, ASKING):
+            some = q[at : at + ASKING]
             _, seen, met = self.greedy(some, cosine - SLACK)
             rows, nodes, value = (np.concatenate(v) for v in zip(*met))
-            found = out[at : at + 256]
+            found = np.zeros((len(some), len(self.x)), bool)
             found[rows, nodes] = value >= cosine
             while len(rows):
-                near = self.lists[nodes]
-                r = np.repeat(rows, near.shape[1])[near.reshape(-1) >= 0]
-                near = near.reshape(-1)[near.reshape(-1) >= 0]
-                fresh = ~seen[r, near]
-                flat = ordered(r[fresh] * len(self.x) + near[fresh])
-                r, near = flat // len(self.x), flat % len(self.x)
-                seen[r, near] = True
-                value = np.concatenate([np.einsum("ij,ij->i", self.x[near[i : i + 50_000]], some[r[i : i + 50_000]]) for i in range(0, len(r), 50_000)] or [np.zeros(0)])
-                found[r, near] = value >= cosine
-                rows, nodes = r[value >= cosine - SLACK], near[value >= cosine - SLACK]
-        return out
+                more = []
+                for i in range(0, len(rows), step):
+                    near = self.lists[nodes[i : i + step]]
+                    r = np.repeat(rows[i : i + step], near.shape[1])[near.reshape(-1) >= 0]
+                    near = near.reshape(-1)[near.reshape(-1) >= 0]
+                    fresh = ~seen[r, near]
+                    flat = ordered(r[fresh] * len(self.x) + near[fresh])
+                    r, near = flat // len(self.x), flat % len(self.x)
+                    seen[r, near] = True
+                    part = max(1, HELD // self.x.shape[1])
+                    value = np.concatenate([np.einsum("ij,ij->i", self.x[near[j : j + part]], some[r[j : j + part]]) for j in range(0, len(r), part)] or [np.zeros(0)])
+                    found[r, near] = value >= cosine
+                    more.append((r[value >= cosine - SLACK], near[value >= cosine - SLACK]))
+                rows, nodes = (np.concatenate(v) for v in zip(*more))
+            yield at, found
 
 
 def distinct(vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -387,40 +408,70 @@ def search(cells: DataFrame, cosine: float) -> DataFrame:
         # Which shards a row is in; a pair counts in the first that both are in.
         sets: dict[tuple, int] = {}
         kind = np.array([sets.setdefault(tuple(s or []), len(sets)) for s in table.column("shards").to_pylist()], np.int64)
-        counts = np.array([[not p or not q or min(set(p) & set(q)) == here for q in sets] for p in sets], np.float64).reshape(len(sets), -1)
-        held = np.zeros((len(x), len(sets)))
-        np.add.at(held, (of, kind[inside]), 1)
+        shards = [set(p) for p in sets]
+        counts: dict[int, bool] = {}
+
+        def counted(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            codes, at = np.unique(one * len(sets) + other, return_inverse=True)
+            for c in codes.tolist():
+                if c not in counts:
+                    p, q = shards[c // len(sets)], shards[c % len(sets)]
+                    counts[c] = not p or not q or min(p & q, default=None) == here
+            return np.array([counts[c] for c in codes.tolist()], bool)[at]
+
+        # Rows that are alike: one vector and the same shards. Those of a vector stand together.
+        alike, of_row, rows = np.unique(of * len(sets) + kind[inside], return_inverse=True, return_counts=True)
+        vector, alike_kind = alike // len(sets), alike % len(sets)
+        first, size = np.searchsorted(vector, np.arange(len(x) + 1)), np.bincount(vector, minlength=len(x))
+        sums = np.zeros(len(alike), np.int64)
         total = np.zeros(len(rid), np.int64)
         above = np.arange(len(x) + len(asking))
-        pairs = []
+
+        def rows_of(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For each of some vectors the places of its alike rows, and which of the vectors they are of."""
+            which = np.repeat(np.arange(len(nodes)), size[nodes])
+            return first[nodes[which]] + np.arange(len(which)) - (np.cumsum(size[nodes]) - size[nodes])[which], which
+
+        def link(one: np.ndarray, other: np.ndarray) -> None:
+            """What is linked gets the smallest number; ``above`` holds what was linked before."""
+            nonlocal above
+            one, other = above[one], above[other]
+            low = np.arange(len(above))
+            while True:
+                was = low.copy()
+                np.minimum.at(low, one, was[other])
+                np.minimum.at(low, other, was[one])
+                low = low[low]
+                if (low == was).all():
+                    break
+            above = low[above]
+
         if (role == 0).any():
             found = graph.within(x, cosine)
             found |= found.T
             np.fill_diagonal(found, True)
-            sums = found.astype(np.float32) @ (held @ counts)
-            total[inside] += sums[of, kind[inside]].round().astype(np.int64) - counts[kind[inside], kind[inside]].astype(np.int64)
-            pairs.append(np.argwhere(found))
+            for at in range(0, len(x), ASKING):
+                one, other = np.nonzero(found[at : at + ASKING])
+                one += at
+                link(one, other)
+                mine, pair = rows_of(one)
+                theirs, which = rows_of(other[pair])
+                mine = mine[which]
+                np.add.at(sums, mine, np.where(counted(alike_kind[mine], alike_kind[theirs]), rows[theirs], 0))
+            sums -= counted(alike_kind, alike_kind)
         if len(asking):
-            q = unit([vec[i] for i in asking])
-            found = graph.within(q, cosine)
-            sums = found.astype(np.float32) @ (held @ counts)
-            total[asking] += sums[np.arange(len(asking)), kind[asking]].round().astype(np.int64)
+            asks = kind[asking]
             both = role[asking] == 1
-            askers = np.zeros((len(asking), len(sets)))
-            askers[np.flatnonzero(both), kind[asking][both]] = 1
-            sums = found.T.astype(np.float32) @ (askers @ counts)
-            total[inside] += sums[of, kind[inside]].round().astype(np.int64)
-            at = np.argwhere(found)
-            pairs.append(np.stack([at[:, 0] + len(x), at[:, 1]], 1))
-        for some in pairs:
-            while True:
-                low = above.copy()
-                np.minimum.at(low, some[:, 0], above[some[:, 1]])
-                np.minimum.at(low, some[:, 1], above[some[:, 0]])
-                low = low[low]
-                if (low == above).all():
-                    break
-                above = low
+            for at, some in graph.slices(unit([vec[i] for i in asking]), cosine):
+                one, other = np.nonzero(some)
+                one += at
+                link(one + len(x), other)
+                theirs, which = rows_of(other)
+                one = one[which]
+                good = counted(asks[one], alike_kind[theirs])
+                np.add.at(total, asking[one], np.where(good, rows[theirs], 0))
+                np.add.at(sums, theirs, good & both[one])
+        total[inside] = sums[of_row]
         node = np.zeros(len(rid), np.int64)
         node[inside], node[asking] = of, np.arange(len(asking)) + len(x)
         speaks = np.zeros(len(above), np.int64)
@@ -451,28 +502,33 @@ def linked(vectors: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP)
     near = stage(near.filter(F.col("alpha") - F.col("rho") <= theta + EPSILON).withColumn("whole", whole), "near-groups")
     band = near.filter(~F.col("whole"))
     # Cells of shards.
-    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("shard").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sets = members.groupBy("rid").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
     block = F.pmod(F.xxhash64("rid", F.lit("block")), F.col("blocks")).cast("int")
-    cell = F.concat_ws("#", "shard", "block")
+    # What is searched for in a cell goes to parts of bounded size, the cell's own rows to each of them.
+    cell = F.concat_ws("#", "shard", "block", "part")
+    asking = F.greatest(F.lit(1), F.ceil(F.col("block") * F.col("rows") / F.col("blocks") / ASKED)).cast("int")
+    part = F.pmod(F.xxhash64("rid", F.lit("part")), F.col("parts")).cast("int")
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
     member = members.join(sizes, "shard").join(sets, "rid").withColumn("block", block).withColumn("rep", F.col("id"))
-    columns = ["cell", "role", "rid", "rep", "vec", "shard", "shards"]
-    held = member.withColumns({"cell": cell, "role": F.lit(0)}).select(columns)
+    columns = ["cell", "part", "role", "rid", "rep", "vec", "shard", "shards"]
+    held = member.withColumn("parts", asking).withColumn("part", every)
+    held = held.withColumns({"cell": cell, "role": F.when(F.col("part") == 0, 0).otherwise(3)}).select(columns)
     later = member.filter("block < blocks - 1").withColumn("block", F.explode(F.expr("sequence(block + 1, blocks - 1)")))
-    asked = later.withColumns({"cell": cell, "role": F.lit(1)}).select(columns)
+    asked = later.withColumn("parts", asking).withColumn("part", part).withColumns({"cell": cell, "role": F.lit(1)}).select(columns)
     # Cells of tight groups that something in their band is compared with.
-    wanted = band.select("hub").distinct()
-    parts = hubs.join(wanted, "hub").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "low")
+    wanted = band.groupBy("hub").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    groups = hubs.join(wanted, "hub").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "parts", "low")
     no_sets = F.lit(None).cast("array<string>")
-    tight = inside.join(parts, "hub").withColumns({"block": block, "shard": F.col("hub"), "shards": no_sets, "rep": F.col("low"), "role": F.lit(3)})
-    tight = tight.withColumn("cell", cell).select(columns)
-    aside = band.join(parts.select("hub", "blocks"), "hub").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    aside = aside.withColumns({"shard": F.col("hub"), "shards": no_sets, "role": F.when(F.col("own").isNull(), 1).otherwise(2)})
+    tight = inside.join(groups, "hub").withColumns({"block": block, "shard": F.col("hub"), "shards": no_sets, "rep": F.col("low"), "role": F.lit(3)})
+    tight = tight.withColumn("part", every).withColumn("cell", cell).select(columns)
+    aside = band.join(groups.select("hub", "blocks", "parts"), "hub").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    aside = aside.withColumns({"part": part, "shard": F.col("hub"), "shards": no_sets, "role": F.when(F.col("own").isNull(), 1).otherwise(2)})
     aside = aside.withColumn("cell", cell).select(columns)
     graph = held.unionByName(tight)
-    lists = build_lists(graph)
+    lists = build_lists(graph.filter("part = 0"))
     table = graph.join(lists, "rid", "left").unionByName(asked.unionByName(aside).withColumn("lists", F.lit(None).cast("array<binary>")))
-    found = stage(search(table, cosine), "found")
+    found = stage(search(table.drop("part"), cosine), "found")
     # Links with whole groups, and within them.
     per_hub = near.filter("whole AND own IS NULL").groupBy("hub").agg(F.count("*").alias("more"))
     within = inside.select("rid", "hub").join(hubs.join(per_hub, "hub", "left").select("hub", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n")), "hub")

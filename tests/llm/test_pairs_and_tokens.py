@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from demandlens.llm import embedding_dedup, spelling, token_alignment
 from demandlens.session import stage
@@ -102,6 +104,55 @@ def test_recall_is_measured(spark):
     assert embedding_dedup.recall(table, halved) == pytest.approx(0.5, abs=0.05)
 
 
+def test_embedding_askers_are_dealt_to_bounded_parts(spark, monkeypatch):
+    """A cell that many are compared with is held beside some of them at a time; the links stay the same."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 10**6)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
+    df = spark.createDataFrame(vectors(), VECTORS)
+    sizes, search = [], embedding_dedup.search
+
+    def sized(cells, cosine):
+        sizes.append(cells.groupBy("cell").count().agg(F.max("count")).first()[0])
+        return search(cells, cosine)
+
+    monkeypatch.setattr(embedding_dedup, "search", sized)
+    whole = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=repr)
+    monkeypatch.setattr(embedding_dedup, "ASKED", 40, raising=False)
+    parts = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=repr)
+    assert parts == whole and sum(r[1] for r in whole) > 10_000
+    assert sizes[1] <= 150 < sizes[0]
+
+
+def test_embedding_search_is_small_however_many_shards_overlap():
+    """A cell whose rows are in many different shards needs no table of rows by sets of shards."""
+    rnd = np.random.default_rng(8)
+    n = 1_000
+    x = rnd.normal(size=(n, 8))
+    x[500:] = x[:500] + 0.01 * rnd.normal(size=(500, 8))
+    vec = [v.tobytes() for v in x]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    lists = [[near[near >= 0].tobytes()] for near in embedding_dedup.Graph(unit).build().lists]
+    shards = [["s", f"t{i % 500}"] for i in range(n)]
+    cell = pa.table({"cell": ["s#0"] * n, "role": [0] * n, "rid": range(n), "rep": range(n), "vec": vec, "shard": ["s"] * n, "shards": shards, "lists": lists})
+
+    class Cells:
+        def groupBy(self, *keys):
+            return self
+
+        def applyInArrow(self, function, schema):
+            return function
+
+    run = embedding_dedup.search(Cells(), 0.98)
+    tracemalloc.start()
+    found = run(cell).to_pydict()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    truth = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = dict(zip(found["rid"], found["n"]))
+    assert sum(got.values()) > 0.95 * truth.sum() and all(got.get(i, 0) <= truth[i] for i in range(n))
+    assert most < 16e6, most
+
+
 def test_graph_finds_tight_and_loose_groups():
     rnd = np.random.default_rng(5)
     middles = rnd.normal(size=(4, 24))
